@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality, toxicity
+from tessera.llm import bitsliced, html_text, quality, rabitq, toxicity
 from tessera.llm.common import table
 
 
@@ -18,5 +18,35 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op3_html": op3_html,
+    "op5_neighbours": op5_neighbours,
+    "op8_topk": op8_topk,
+}
+#: Whole tables, as the queries; the index may find other rows than these where recall is below one.
+ORACLE_SQL: dict[str, str] = {
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS vec_id, list_inner_product(q.x::DOUBLE[], v.x::DOUBLE[])::BIGINT AS score
+            FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
