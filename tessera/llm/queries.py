@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, html_text, quality, rabitq, toxicity
+from tessera.llm import bitsliced, html_text, packing, quality, rabitq, revisits, toxicity
 from tessera.llm.common import table
 
 
@@ -22,10 +23,19 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures_of(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.lengths(table(spark, sf_dir, "documents")))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.search(table(spark, sf_dir, "embeddings"))
 
@@ -34,11 +44,37 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_html": op3_html,
+    "op4_revisits": op4_revisits,
     "op5_neighbours": op5_neighbours,
+    "op6_packing": op6_packing,
     "op8_topk": op8_topk,
 }
 #: Whole tables, as the queries; the index may find other rows than these where recall is below one.
 ORACLE_SQL: dict[str, str] = {
+    "op4_revisits": r"""
+        WITH p AS (
+            SELECT page_id, md5(coalesce(html, '')) AS tag, length(coalesce(html, '')) AS size,
+                   regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare
+            FROM pages
+        ), k AS (
+            SELECT page_id, tag, size, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+                   || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND lower(regexp_extract(x, '^([^=]*)', 1))
+                   NOT IN ('ref', 'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'sessionid'))), '&') AS query
+            FROM p
+        ), u AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM k),
+        j AS (
+            SELECT r.page_id, r.url_key, r.tag, f.page_id AS source, f.tag AS source_tag, f.size AS source_size,
+                   row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC) AS n
+            FROM u AS r LEFT JOIN u AS f ON f.url_key = r.url_key AND f.page_id < r.page_id + 500
+        )
+        SELECT page_id * 2 + 1 AS record_id, url_key, page_id + 500 AS ts,
+               CASE WHEN source IS NULL THEN 'orphan' WHEN tag = source_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
+               source * 2 AS source_id, source AS source_ts,
+               CASE WHEN tag = source_tag THEN 'content-length: ' || source_size || chr(10) || 'content-type: text/html' || chr(10)
+                    || 'date: ' || (page_id + 500) || chr(10) || 'etag: W/"' || tag || '"' || chr(10) || 'x-cache: revalidated' END AS headers
+        FROM j WHERE n = 1
+    """,
     "op8_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
