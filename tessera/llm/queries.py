@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, html_text, packing, quality, rabitq, revisits, toxicity
+from tessera.llm import bagminhash, bitsliced, html_text, packing, quality, rabitq, revisits, toxicity
 from tessera.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
     "op8_topk": op8_topk,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 #: Whole tables, as the queries; the index may find other rows than these where recall is below one.
 ORACLE_SQL: dict[str, str] = {
