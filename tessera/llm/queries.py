@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, bitsliced, html_text, packing, quality, rabitq, revisits, toxicity
+from tessera.llm import bagminhash, bitsliced, html_text, packing, pieces, quality, rabitq, revisits, toxicity
 from tessera.llm.common import table
 
 
@@ -36,6 +38,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.lengths(table(spark, sf_dir, "documents")))
 
 
+#: The model file of a public tokenizer; a parameter, never part of this repository.
+PIECES = os.environ.get("TESSERA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.search(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +61,7 @@ QUERIES = {
     "op4_revisits": op4_revisits,
     "op5_neighbours": op5_neighbours,
     "op6_packing": op6_packing,
+    "op7_pieces": op7_pieces,
     "op8_topk": op8_topk,
     "op9_near_duplicates": op9_near_duplicates,
 }
