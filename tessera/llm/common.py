@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 2048) -> DataFrame:
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, rows: int = 2048) -> DataFrame:
     """``mapInArrow`` with batches cut to ``rows`` rows, so that memory follows a batch and not a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,3 +158,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(buffers[2], np.uint8)[starts[0] : starts[-1]] if buffers[2] else np.zeros(0, np.uint8)
     return data, (starts - starts[0]).astype(np.int64)
+
+
+def keep_rows(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], rows: int = 2048) -> DataFrame:
+    """The rows of ``df``, with all their columns, for whose ``text`` (strings, null as null) ``keep`` gives true."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(batch.column("text")), pa.bool_()))
+
+    return map_arrow(df, step, df.schema, rows)

@@ -102,8 +102,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple
     return xs[keep], ys[keep]
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    texts = batch.column("text").to_pylist()
+def _matrix(column: pa.Array) -> np.ndarray:
+    texts = column.to_pylist()
     return np.stack([statistics(t or "") for t in texts]) if texts else np.zeros((0, N_STATISTICS))
 
 
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, cosines: int = 1
     sample = common.labelled_sample(docs, labels, "quality", 5, 0, most)
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _matrix(batch)
+        x = _matrix(batch.column("text"))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = common.checkpointed(common.map_arrow(sample, measured, "doc_id long, y int, x array<double>").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5))))
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
-        s = m.score(_matrix(batch))
+        s = m.score(_matrix(batch.column("text")))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= m.threshold).astype(np.int32))],
             ["doc_id", "held_out", "score", "predicted"],
@@ -196,3 +196,14 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id", 5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return common.map_arrow(rows, step, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def of_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of ``docs`` whose texts reach the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        m = sent.value
+        return m.score(_matrix(texts)) >= m.threshold
+
+    return common.keep_rows(docs, keep)

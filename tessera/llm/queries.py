@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, bitsliced, html_text, packing, pieces, quality, rabitq, revisits, toxicity
+from tessera.llm import bagminhash, bitsliced, html_text, kneser_ney, packing, pieces, quality, rabitq, revisits, toxicity
 from tessera.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_all(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_pieces": op7_pieces,
     "op8_topk": op8_topk,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_language_model": op10_language_model,
 }
 #: Whole tables, as the queries; the index may find other rows than these where recall is below one.
 ORACLE_SQL: dict[str, str] = {

@@ -251,3 +251,16 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.held_out("doc_id", 3, 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     return common.map_arrow(rows, step, "doc_id long, held_out boolean, score double, predicted int, n_hits int")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs`` whose texts score below the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        m = sent.value
+        machine = _machine(m)
+        found = (m.strength(machine, t or "") for t in texts.to_pylist())
+        return np.array([m.score(m.normalised(s, words)) < m.threshold for s, _, words in found], bool)
+
+    return common.keep_rows(docs, keep)
