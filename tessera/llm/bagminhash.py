@@ -180,7 +180,12 @@ def _unordered(a: str, b: str) -> list:
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFrame:
-    """doc_id, class_id, class_size, kept: one row for each row of ``docs``; kept marks the row that stands for its class.
+    """doc_id, class_id, class_size, kept: one row for each row of ``docs``; kept marks the row that stands for its class."""
+    return labelled(docs, similarity, stars).select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+
+
+def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
+    """doc_id, node, root, class_id, class_size: one row for each row of ``docs``; root names the class.
 
     ``stars`` rounds link each bucket's texts to one centre; what they leave is paired off in full."""
     found = common.checkpointed(nodes_of(docs))
@@ -209,12 +214,12 @@ def classes(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFra
         several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         open_meets = common.checkpointed(known.join(several, "key", "left_semi"))
     if roots is None:
-        labelled = found.select("doc_id", F.col("node").alias("root"))
+        members = found.select("doc_id", "node", F.col("node").alias("root"))
     else:
-        labelled = found.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    labelled = common.checkpointed(labelled)
-    sizes = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return labelled.join(sizes, "root").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+        members = found.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    members = common.checkpointed(members)
+    sizes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return members.join(sizes, "root")
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -222,18 +227,16 @@ def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     A class without any id keeps one row. What is dropped decides how the rows are filtered: ids of dropped rows
     are broadcast while they are few, and joined by shuffling beyond that."""
-    found = common.checkpointed(classes(docs, similarity))
-    dropped = common.checkpointed(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    rows = docs.join(sized(dropped, dropped.count()), "doc_id", "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    odd = found.where(F.col("doc_id").isNull()).limit(1).count() + repeated.limit(1).count()
-    if not odd:
-        return rows
-    repeated = common.checkpointed(repeated)
-    once = rows.where(F.col("doc_id").isNotNull()).join(repeated, "doc_id", "left_anti")
-    twice = rows.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where(F.col("class_id").isNull()).limit(1).count()
-    if not nameless:
-        return once.unionByName(twice)
-    without = rows.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return once.unionByName(twice).unionByName(without)
+    found = common.checkpointed(labelled(docs, similarity))
+    kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))
+    dropped = common.checkpointed(found.where(~kept & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    named = docs.where(F.col("doc_id").isNotNull()).join(sized(dropped, dropped.count()), "doc_id", "left_anti")
+    repeated = common.checkpointed(found.where(kept).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        named = named.join(repeated, "doc_id", "left_anti").unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    nameless = common.checkpointed(found.where(F.col("class_id").isNull()).groupBy("root").agg(F.min("node").alias("node")))
+    if nameless.isEmpty():
+        return named
+    node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    others = docs.where(F.col("doc_id").isNull()).withColumn("_node", node).join(nameless.select(F.col("node").alias("_node")), "_node", "left_semi")
+    return named.unionByName(others.dropDuplicates(["_node"]).select(docs.columns))

@@ -3,7 +3,7 @@
 Pass one cuts a page into blocks and decides those that are clear: by where they stand (navigation, footers,
 forms, adverts, comments ... never hold the article), by link density, and by length together with the share of
 stop words. Pass two lets each block that stayed open, most of them short, take the label of the nearest decided
-blocks: that of both sides where they agree, else that of the nearer one (of two as near, the good one inside an article). The borders of an article element count
+blocks: that of both sides where they agree, else that of the nearer one (of two as near, the good one). The borders of an article element count
 as decided neighbours of the blocks inside it.
 
 Defined results: null and empty pages have an empty text; text outside any element is a block; broken markup
@@ -197,7 +197,7 @@ def inherit(blocks: list[Block]) -> None:
         if i < n - 1 and not new and blocks[i + 1].good is not None:
             distance, label = 0, blocks[i + 1].good
         after[i] = (distance + 1, label)
-    decided = [b.good if b.good is not None else x[1] if x[1] == y[1] or x[0] < y[0] else y[1] if y[0] < x[0] else b.inside for b, x, y in zip(blocks, before, after)]
+    decided = [b.good if b.good is not None else x[1] if x[1] == y[1] or x[0] < y[0] else y[1] if y[0] < x[0] else True for b, x, y in zip(blocks, before, after)]
     for b, good in zip(blocks, decided):
         b.good = good
 
