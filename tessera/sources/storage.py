@@ -83,14 +83,11 @@ class ArrayStore:
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """src, dst (from zero): both directions of the entries of a symmetric coordinate file; loops are left out.
 
-    The first line that is no comment has the extents; it has as many fields as an entry or more, and is told by
-    being the first, so lines are numbered by their place in the file."""
+    The first line that is no comment has the two extents and the number of entries; lines equal to it are no entries."""
     lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     fields = F.split(F.trim("value"), r"\s+")
-    head = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "")).limit(1).head()
-    extents = [int(x) for x in head[0].split()]
-    body = lines.where(F.trim("value") != head[0].strip()) if len(extents) == 3 else lines
-    pairs = body.select((fields[0].cast("long") - 1).alias("src"), (fields[1].cast("long") - 1).alias("dst")).where("src <> dst")
+    head = lines.head()[0].strip()
+    pairs = lines.where(F.trim("value") != head).select((fields[0].cast("long") - 1).alias("src"), (fields[1].cast("long") - 1).alias("dst")).where("src <> dst")
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
