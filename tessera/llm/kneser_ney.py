@@ -99,6 +99,7 @@ class Model:
 
     folder: str
     shards: int
+    bits: int = 6  # words are parted into 2**bits tables by their hashes' leading bits
     hot: frozenset[int] = frozenset()
     tokens: int = 0  # N
     words: int = 0  # V
@@ -179,11 +180,12 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000)
 
     The number of shards follows the number of tokens. Only totals and the hot words, at most 8 for each shard,
     come to the driver."""
-    guess = max(1, n_texts)
+    bits = table_bits(n_texts)
+    tables = 1 << bits
 
     def words(stream, first):
         keys, n = counted(stream, np.ones(len(stream), np.int64))
-        yield from _slices(keys, _shard_of(keys, 64), n.astype(np.uint32))
+        yield from _slices(keys, (keys >> np.uint64(64 - bits)).astype(np.int64), n.astype(np.uint32))
 
     def add_words(group: pa.Table) -> pa.Table:
         keys, n = counted(*_merged(group.column("parts"), (np.uint64, np.uint32)))
@@ -192,7 +194,7 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000)
     vocabulary = common.checkpointed(_dealt(texts, words).groupBy("shard").applyInArrow(add_words, "shard int, parts array<binary>, words long, tokens long"))
     totals = vocabulary.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     if not totals["tokens"]:
-        return Model(folder, 0)
+        return Model(folder, 0, bits)
     shards = max(1, min(4096, -(-totals["tokens"] // per_shard)))
     often = max(1, totals["tokens"] // (8 * shards))
 
@@ -238,7 +240,7 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000)
         _write(folder, f"pairs-{s}.large", np.concatenate([many.astype(np.int64), n[by_key][many]]))
         context, c1, c2, c3 = counted(a, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
         after, times = counted(b, np.ones(len(b), np.int64))
-        rows = [*((t, [context[i], c1[i], c2[i], c3[i]]) for t, i in _by_table(context)), *((t + TABLES, [after[i], times[i]]) for t, i in _by_table(after))]
+        rows = [*((t, [context[i], c1[i], c2[i], c3[i]]) for t, i in _by_table(context, bits)), *((t + tables, [after[i], times[i]]) for t, i in _by_table(after, bits))]
         found = [int((n == k).sum()) for k in (1, 2, 3, 4)]
         return pa.table(
             [pa.array([t for t, _ in rows], pa.int32()), pa.array([[x.astype(np.uint64 if i == 0 else np.uint32).tobytes() for i, x in enumerate(p)] for _, p in rows], pa.list_(pa.binary())), pa.array([[0] * 4] * (len(rows) - 1) + [found], pa.list_(pa.int64())), pa.array([0] * (len(rows) - 1) + [len(n)], pa.int64())],
@@ -268,23 +270,26 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000)
         return pa.table([pa.array([found], pa.list_(pa.int64()))], ["found"])
 
     of_words = vocabulary.select(F.col("shard").alias("table"), F.lit(0).alias("kind"), "parts")
-    of_pairs = stats.select(F.pmod("shard", F.lit(TABLES)).alias("table"), F.when(F.col("shard") < TABLES, 1).otherwise(2).alias("kind"), "parts")
-    tables = of_words.unionByName(of_pairs).groupBy("table").applyInArrow(table, "found array<long>")
-    m = common.checkpointed(tables).agg(*(F.sum(F.col("found")[k]).alias(f"n{k}") for k in range(5))).first()
+    of_pairs = stats.select(F.pmod("shard", F.lit(tables)).alias("table"), F.when(F.col("shard") < tables, 1).otherwise(2).alias("kind"), "parts")
+    written = of_words.unionByName(of_pairs).groupBy("table").applyInArrow(table, "found array<long>")
+    m = common.checkpointed(written).agg(*(F.sum(F.col("found")[k]).alias(f"n{k}") for k in range(5))).first()
     singles = Discounts.of([m["n0"], m["n1"], m["n2"], m["n3"]])
     mass = singles.mass(m["n0"], m["n1"], m["n4"]) / max(1, n["distinct"])
-    return Model(folder, shards, frozenset(hot), totals["tokens"], totals["words"], n["distinct"], guess, Discounts.of([n[f"n{k}"] for k in range(4)]), singles, mass)
+    return Model(folder, shards, bits, frozenset(hot), totals["tokens"], totals["words"], n["distinct"], n_texts, Discounts.of([n[f"n{k}"] for k in range(4)]), singles, mass)
 
 
-#: Tables of words, parted by their hashes.
-TABLES = 64
+def table_bits(n_texts: int, each: int = 50_000) -> int:
+    """64 tables of words, more where there are many texts: a table has the words of about ``each`` texts at most."""
+    return max(6, (-(-n_texts // each) - 1).bit_length()) if n_texts else 6
 
 
-def _by_table(keys48: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_table(keys48: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Table numbers of 48-bit hashes and the rows of each."""
-    t = (keys48 >> np.uint64(42)).astype(np.int64)
-    for k in np.unique(t):
-        yield int(k), np.flatnonzero(t == k)
+    t = (keys48 >> np.uint64(48 - bits)).astype(np.int64)
+    order = np.argsort(t, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0])) if len(t) else []
+    for i, j in zip(cut, [*cut[1:], len(order)]):
+        yield int(t[order[i]]), order[i:j]
 
 
 def pair_shard(a: np.ndarray, b: np.ndarray, hot_short: np.ndarray, shards: int) -> np.ndarray:
@@ -338,15 +343,15 @@ class Reader:
         before[1:] = stream[:-1]
         before[first[:-1]] = BEGIN
         words, place = np.unique(stream, return_inverse=True)
-        count = self.lookup("words", (words >> np.uint64(58)).astype(np.int64), words)[:, 0]
+        count = self.lookup("words", (words >> np.uint64(64 - m.bits)).astype(np.int64), words)[:, 0]
         s = short(words)
-        times = self.lookup("follow", (s >> np.uint64(42)).astype(np.int64), s)[:, 0]
+        times = self.lookup("follow", (s >> np.uint64(48 - m.bits)).astype(np.int64), s)[:, 0]
         single = np.maximum(times - m.singles(times), 0) / max(1, m.continuations) + m.single_mass / (m.words + 1)
         contexts, context = np.unique(before, return_inverse=True)
-        total = self.lookup("words", (contexts >> np.uint64(58)).astype(np.int64), contexts)[:, 0]
+        total = self.lookup("words", (contexts >> np.uint64(64 - m.bits)).astype(np.int64), contexts)[:, 0]
         total[contexts == BEGIN] = m.texts
         sc = short(contexts)
-        n1, n2, n3 = self.lookup("context", (sc >> np.uint64(42)).astype(np.int64), sc, np.uint32, 3).T
+        n1, n2, n3 = self.lookup("context", (sc >> np.uint64(48 - m.bits)).astype(np.int64), sc, np.uint32, 3).T
         left = np.where(total > 0, m.pairs.mass(n1, n2, n3) / np.maximum(total, 1), 1.0)
         seen = np.flatnonzero((total[context] > 0) & (count[place] > 0))
         a, b = sc[context[seen]], s[place[seen]]

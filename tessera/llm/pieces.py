@@ -239,7 +239,13 @@ class Machine:
 
 #: Where the composition falls apart: before the first of some marks, around newlines. A literal mark counts as a space.
 _CHUNK = re.compile(r"[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
-_machines: dict[int, Machine] = {}
+_machines: dict[bytes, Machine] = {}
+
+
+def _machine(data: bytes) -> Machine:
+    if data not in _machines:
+        _machines[data] = Machine.compile(data)
+    return _machines[data]
 
 
 def restores(text: str, machine: Machine, ids: np.ndarray) -> bool:
@@ -255,9 +261,7 @@ def encode(docs: DataFrame, model_file: str, check: bool = True) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = sent.value
-        if (machine := _machines.get(len(data))) is None:
-            machine = _machines.setdefault(len(data), Machine.compile(data))
+        machine = _machine(sent.value)
         texts = [t or "" for t in batch.column("text").to_pylist()]
         ids = [machine.encode(t) for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
@@ -275,8 +279,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = sent.value
-        machine = _machines.get(len(data)) or _machines.setdefault(len(data), Machine.compile(data))
+        machine = _machine(sent.value)
         texts = [machine.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
