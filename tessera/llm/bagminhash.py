@@ -134,12 +134,22 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+#: Rows of small tables, and texts, that one task takes on. Tasks of few rows would each leave shuffle files.
+TASK_ROWS, TASK_TEXTS = 60_000, 2_000
+
+
+def tasks(rows: int, each: int = TASK_ROWS) -> int:
+    return max(1, -(-rows // each))
+
+
+def verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of those pairs of nodes whose texts overlap by ``similarity`` or more, from the whole texts."""
-    wanted = common.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = _texts(docs).join(sized(wanted, wanted.count()), "node", "left_semi")
-    texts = common.checkpointed(texts.groupBy("node").agg(F.any_value("text").alias("text")))
-    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    wanted = common.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(tasks(2 * n_pairs)))
+    n_texts = wanted.count()
+    texts = _texts(docs).join(sized(wanted, n_texts), "node", "left_semi")
+    texts = common.checkpointed(texts.groupBy("node").agg(F.any_value("text").alias("text")).coalesce(tasks(n_texts, TASK_TEXTS)))
+    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").coalesce(tasks(n_pairs, TASK_TEXTS))
+    joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").coalesce(tasks(n_pairs, TASK_TEXTS // 4))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sides = []
@@ -159,15 +169,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates linking larger and smaller neighbours to the smallest one until nothing changes; each round is
     written to the shared folder, so lineage stays short."""
-    least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
-    edges = common.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    least = lambda e: e.groupBy("u").agg(F.min("v").alias("m")).coalesce(width)
+    width = tasks(links.count())
+    edges = common.checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().coalesce(width))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").coalesce(width).distinct().coalesce(width)
         m = least(large)
-        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
-        new = common.checkpointed(small)
+        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(m.select("u", F.col("m").alias("v"))).coalesce(width).distinct()
+        new = common.checkpointed(small.coalesce(width))
         gone = edges.join(new, ["u", "v"], "left_anti").limit(1).count() or new.join(edges, ["u", "v"], "left_anti").limit(1).count()
         edges = new
         if not gone:
@@ -193,9 +204,11 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
     entries = nodes.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     meets = common.checkpointed(entries.join(shared, "key"))
+    n_open = meets.count()
+    meets = meets.coalesce(tasks(n_open))
     roots, links = None, None
-    degree = meets.groupBy("node").agg(F.sum("n").alias("degree"))
-    open_meets = common.checkpointed(meets.select("key", "node").join(degree, "node").withColumn("root", F.col("node")))
+    degree = meets.groupBy("node").agg(F.sum("n").alias("degree")).coalesce(tasks(n_open))
+    open_meets = common.checkpointed(meets.select("key", "node").join(degree, "node").withColumn("root", F.col("node")).coalesce(tasks(n_open)))
     for star in range(stars + 1):
         if star < stars:
             rank = F.struct("degree", "node") if star == 0 else F.struct(F.xxhash64("key", "node", F.lit(star)), F.col("degree"), F.col("node"))
@@ -204,15 +217,17 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
         else:
             other = open_meets.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
             pairs = open_meets.join(other, "key").where((F.col("root") < F.col("root_b"))).select(*_unordered("node", "node_b"))
-        pairs = common.checkpointed(pairs.distinct())
-        if pairs.isEmpty():
+        pairs = common.checkpointed(pairs.coalesce(tasks(n_open)).distinct().coalesce(tasks(n_open)))
+        n_pairs = pairs.count()
+        if not n_pairs:
             break
-        new = verified(pairs, docs, similarity)
-        links = common.checkpointed(new if links is None else links.unionByName(new))
-        roots = common.checkpointed(components(links))
-        known = open_meets.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        new = verified(pairs, n_pairs, docs, similarity)
+        links = common.checkpointed((new if links is None else links.unionByName(new)).coalesce(tasks(n_pairs)))
+        roots = common.checkpointed(components(links).coalesce(tasks(n_open)))
+        known = open_meets.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(tasks(n_open))
         several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        open_meets = common.checkpointed(known.join(several, "key", "left_semi"))
+        open_meets = common.checkpointed(known.join(several.coalesce(tasks(n_open)), "key", "left_semi").coalesce(tasks(n_open)))
+        n_open = max(1, open_meets.count())
     if roots is None:
         members = found.select("doc_id", "node", F.col("node").alias("root"))
     else:
