@@ -109,16 +109,19 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """node, doc_id, keys: one row for each row of ``docs``; node tells the text (its MD5), keys are its band keys."""
+    """node, doc_id, keys, size: one row for each row of ``docs``; node tells the text (its MD5), keys are its band
+    keys, size is the sum of its shingles' weights."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, starts = common.text_bytes(batch.column("text"))
-        times = signatures(*shingles(data, starts), batch.num_rows)
+        doc, shingle, weight = shingles(data, starts)
+        times = signatures(doc, shingle, weight, batch.num_rows)
+        size = np.bincount(doc, weight, batch.num_rows).astype(np.int64)
         empty = np.isinf(times).all(1)
         keys = [[] if e else k for e, k in zip(empty, bands(times))]
-        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["node", "doc_id", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(size)], ["node", "doc_id", "keys", "size"])
 
-    return common.map_arrow(_texts(docs).select("node", "doc_id", "text"), step, "node binary, doc_id long, keys array<long>", rows=512)
+    return common.map_arrow(_texts(docs).select("node", "doc_id", "text"), step, "node binary, doc_id long, keys array<long>, size long", rows=512)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -136,6 +139,8 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 #: Rows of small tables, and texts, that one task takes on. Tasks of few rows would each leave shuffle files.
 TASK_ROWS, TASK_TEXTS = 60_000, 2_000
+#: Buckets with no more pairs than this for each of their rows are paired off at once.
+PAIRS_A_ROW = 4
 
 
 def tasks(rows: int, each: int = TASK_ROWS) -> int:
@@ -198,36 +203,45 @@ def classes(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFra
 def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
     """doc_id, node, root, class_id, class_size: one row for each row of ``docs``; root names the class.
 
-    ``stars`` rounds link each bucket's texts to one centre; what they leave is paired off in full."""
+    Up to ``stars`` rounds link each bucket's texts to one centre; what they leave is paired off in full, as is all
+    from the start where the buckets' pairs are no more than a few for each of their rows."""
     found = common.checkpointed(nodes_of(docs))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
-    entries = nodes.select("node", F.explode("keys").alias("key"))
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.any_value("size").alias("size"))
+    entries = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     meets = common.checkpointed(entries.join(shared, "key"))
-    n_open = meets.count()
+    sums = meets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("twice")).first()
+    n_open, n_cross = sums["n"], sums["twice"] // 2
     meets = meets.coalesce(tasks(n_open))
     roots, links = None, None
     degree = meets.groupBy("node").agg(F.sum("n").alias("degree")).coalesce(tasks(n_open))
-    open_meets = common.checkpointed(meets.select("key", "node").join(degree, "node").withColumn("root", F.col("node")).coalesce(tasks(n_open)))
+    open_meets = common.checkpointed(meets.select("key", "node", "size").join(degree, "node").withColumn("root", F.col("node")).coalesce(tasks(n_open)))
+    may = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity  # noqa: E731  overlap is at most the ratio of sizes
     for star in range(stars + 1):
-        if star < stars:
+        final = star == stars or n_cross <= PAIRS_A_ROW * n_open
+        if not final:
             rank = F.struct("degree", "node") if star == 0 else F.struct(F.xxhash64("key", "node", F.lit(star)), F.col("degree"), F.col("node"))
-            centres = open_meets.groupBy("key").agg(F.max_by(F.struct("node", "root"), rank).alias("centre"))
-            pairs = open_meets.join(centres, "key").where(F.col("root") != F.col("centre.root")).select(*_unordered("node", "centre.node"))
+            centres = open_meets.groupBy("key").agg(F.max_by(F.struct("node", "root", "size"), rank).alias("centre"))
+            pairs = open_meets.join(centres, "key").where((F.col("root") != F.col("centre.root")) & may("size", "centre.size")).select(*_unordered("node", "centre.node"))
         else:
-            other = open_meets.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
-            pairs = open_meets.join(other, "key").where((F.col("root") < F.col("root_b"))).select(*_unordered("node", "node_b"))
+            other = open_meets.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
+            pairs = open_meets.join(other, "key").where((F.col("root") < F.col("root_b")) & may("size", "size_b")).select(*_unordered("node", "node_b"))
         pairs = common.checkpointed(pairs.coalesce(tasks(n_open)).distinct().coalesce(tasks(n_open)))
         n_pairs = pairs.count()
-        if not n_pairs:
+        if not n_pairs and final:
             break
         new = verified(pairs, n_pairs, docs, similarity)
         links = common.checkpointed((new if links is None else links.unionByName(new)).coalesce(tasks(n_pairs)))
         roots = common.checkpointed(components(links).coalesce(tasks(n_open)))
         known = open_meets.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(tasks(n_open))
-        several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        open_meets = common.checkpointed(known.join(several.coalesce(tasks(n_open)), "key", "left_semi").coalesce(tasks(n_open)))
-        n_open = max(1, open_meets.count())
+        if final:
+            break
+        by_root = known.groupBy("key", "root").agg(F.count("*").alias("c"))
+        several = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s").coalesce(tasks(n_open))
+        open_meets = known.select("key", "node", "size", "degree", "root").join(several.select("key", ((F.col("c") * F.col("c") - F.col("s")) / F.col("c") / 2).alias("cross")), "key")
+        open_meets = common.checkpointed(open_meets.coalesce(tasks(n_open)))
+        sums = open_meets.agg(F.count("*").alias("n"), F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross")).first()
+        n_open, n_cross = max(1, sums["n"]), sums["cross"]
     if roots is None:
         members = found.select("doc_id", "node", F.col("node").alias("root"))
     else:
