@@ -71,13 +71,14 @@ class Machine:
     model: int
     prefix: bool
     squeeze: bool
-    most_remembered: int = 300_000
+    most_remembered: int = 500_000
     arcs: dict[str, int] = field(default_factory=dict)
     trie: dict[str, int] = field(default_factory=dict)
     bytes_ids: list[int] = field(default_factory=list)
     unknown: int = 0
     longest: int = 1
     paths: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
 
     @classmethod
@@ -198,12 +199,14 @@ class Machine:
         return [i for ids in reversed(out) for i in ids]
 
     def path(self, chunk: str) -> bytes:
-        """Ids of a chunk as 32-bit integers."""
-        normal = chunk.replace(" ", MARK)
-        ids = self._bpe_path(normal) if self.model == BPE else self._unigram_path(normal)
-        out = np.array(ids, np.int32).tobytes()
+        """Ids of a chunk as 32-bit integers. Chunks met since the last time that the memory was full stay remembered."""
+        out = self.older.get(chunk)
+        if out is None:
+            normal = chunk.replace(" ", MARK)
+            ids = self._bpe_path(normal) if self.model == BPE else self._unigram_path(normal)
+            out = struct.pack(f"={len(ids)}i", *ids)
         if len(self.paths) >= self.most_remembered:
-            self.paths.clear()
+            self.older, self.paths = self.paths, {}
         if len(chunk) <= 64:
             self.paths[chunk] = out
         return out
@@ -213,9 +216,9 @@ class Machine:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return np.zeros(0, np.int32)
-        known, path = self.paths, self.path
+        path = self.path
         chunks = _CHUNK.findall(f" {text}" if self.prefix else text)
-        return np.frombuffer(b"".join([known.get(c) or path(c) for c in chunks]), np.int32)
+        return np.frombuffer(b"".join([self.paths.get(c) or path(c) for c in chunks]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: pieces joined, bytes put together, the mark before the text taken off."""
