@@ -10,9 +10,10 @@ which depends on the text's total weight; texts that have an empty component go
 
 Signatures are cut into bands. Texts that agree in a band meet in its bucket. A bucket links its texts to a centre
 (the text that meets most others); links are verified by exact multiset overlap; connected texts form classes.
-Buckets whose texts ended in several classes are gone through again, each text against one text after another
-of the other classes, until no pair of such texts is left that wasn't verified or joined: dense groups cost about one link
-for each text, and no link between different texts is lost.
+Buckets whose texts ended in several classes are gone through again with other centres. What is left after some
+rounds is settled whole: in small buckets pair by pair, in crowded ones block against block, where one matrix product
+gives all overlaps and only a spanning forest of the links comes out. So dense groups cost about one link for each
+text, and no link between texts that meet is lost.
 
 Exact copies are one node from the start. Defined results: texts of fewer than five words are one shingle; empty
 and null texts are copies of one another and near no other text; repeated rows and rows with a null id take part
@@ -141,18 +142,26 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 TASK_ROWS, TASK_TEXTS = 60_000, 2_000
 #: Buckets with no more pairs than this for each of their rows are paired off at once.
 PAIRS_A_ROW = 4
+#: Weight of a block of a crowded bucket: shingles, and a further charge for each text, which bounds the texts.
+BLOCK_WEIGHT, TEXT_WEIGHT = 40_000, 40
+#: Shingles in one slice of a block's matrix.
+SLICE = 4096
 
 
 def tasks(rows: int, each: int = TASK_ROWS) -> int:
     return max(1, -(-rows // each))
 
 
-def verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of those pairs of nodes whose texts overlap by ``similarity`` or more, from the whole texts."""
-    wanted = common.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(tasks(2 * n_pairs)))
+def texts_of(wanted: DataFrame, n_nodes: int, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``wanted``, of which there are at most ``n_nodes`` rows."""
+    wanted = common.checkpointed(wanted.distinct().coalesce(tasks(n_nodes)))
     n_texts = wanted.count()
     texts = _texts(docs).join(sized(wanted, n_texts), "node", "left_semi")
-    texts = common.checkpointed(texts.groupBy("node").agg(F.any_value("text").alias("text")).coalesce(tasks(n_texts, TASK_TEXTS)))
+    return common.checkpointed(texts.groupBy("node").agg(F.any_value("text").alias("text")).coalesce(tasks(n_texts, TASK_TEXTS)))
+
+
+def verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those pairs of nodes whose texts overlap by ``similarity`` or more, from the whole texts."""
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").coalesce(tasks(n_pairs, TASK_TEXTS))
     joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").coalesce(tasks(n_pairs, TASK_TEXTS // 4))
 
@@ -169,6 +178,98 @@ def verified(pairs: DataFrame, n_pairs: int, docs: DataFrame, similarity: float)
     return common.map_arrow(joined.select("a", "b", "text_a", "text_b"), step, "a binary, b binary", rows=256)
 
 
+def near_cells(left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, columns: int, similarity: float) -> np.ndarray:
+    """Which texts of one block overlap which of another by ``similarity`` or more; blocks as ``shingles`` gives them.
+
+    A shingle of weight w becomes w members of a set, so that shared weights are products of zeros and ones."""
+    sides = []
+    for d, s, w in (left, right):
+        nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        sides.append((np.repeat(d, w), common.mix64(np.repeat(s, w) + _GOLDEN * nth.astype(np.uint64))))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    shared = np.zeros((rows, columns))
+    placed = []
+    for d, member in sides:
+        at = np.minimum(np.searchsorted(both, member), max(len(both) - 1, 0))
+        here = both[at] == member if len(both) else np.zeros(len(member), bool)
+        order = np.argsort(at[here], kind="stable")
+        placed.append((d[here][order], at[here][order]))
+    for low in range(0, len(both), SLICE):
+        parts = []
+        for (d, at), n in zip(placed, (rows, columns)):
+            i, j = np.searchsorted(at, (low, low + SLICE))
+            part = np.zeros((n, SLICE), np.float32)
+            part[d[i:j], at[i:j] - low] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    size = [np.bincount(d, w, n) for (d, _, w), n in ((left, rows), (right, columns))]
+    union = size[0][:, None] + size[1][None, :] - shared
+    return (union > 0) & (shared / np.maximum(union, 1) >= similarity)
+
+
+def forest(cells: np.ndarray) -> list[tuple[int, int]]:
+    """Cells of a matrix of links between rows and columns that connect all that the whole matrix connects."""
+    open_rows, open_columns = cells.any(1), np.ones(cells.shape[1], bool)
+    out: list[tuple[int, int]] = []
+    while open_rows.any():
+        ahead = [(True, int(open_rows.argmax()))]
+        open_rows[ahead[0][1]] = False
+        while ahead:
+            is_row, at = ahead.pop()
+            free = open_columns if is_row else open_rows
+            new = np.flatnonzero((cells[at] if is_row else cells[:, at]) & free)
+            free[new] = False
+            out += [(at, int(n)) if is_row else (int(n), at) for n in new]
+            ahead += [(not is_row, int(n)) for n in new]
+    return out
+
+
+def parts_of(crowded: DataFrame) -> DataFrame:
+    """key, i, j, own, node, root: the rows of crowded buckets, dealt to pairs of blocks.
+
+    A bucket's largest class is cut into blocks -1, -2 ... and all else into blocks 0, 1 ...; each block of the
+    rest (i) is held against every block (j), so texts of the largest class never meet one another."""
+    weight = F.col("size") + TEXT_WEIGHT
+    by_root = crowded.groupBy("key", "root").agg(F.struct(F.count("*").alias("c"), F.sum(weight).alias("w"), F.col("root").alias("largest")).alias("held"))
+    plan = by_root.groupBy("key").agg(F.max("held").alias("top"), F.sum("held.w").alias("w"))
+    blocks = lambda w: F.greatest(F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")
+    plan = plan.select("key", F.col("top.largest").alias("largest"), blocks(F.col("top.w")).alias("p"), blocks(F.col("w") - F.col("top.w")).alias("q"))
+    in_top = F.col("root") == F.col("largest")
+    place = F.pmod(F.xxhash64("node"), F.when(in_top, F.col("p")).otherwise(F.col("q"))).cast("int")
+    rows = crowded.join(plan, "key").withColumn("own", F.when(in_top, -1 - place).otherwise(place))
+    rest = F.sequence(F.lit(0), F.col("q") - 1)
+    own = F.col("own")
+    of_top = F.transform(rest, lambda i: F.struct(i.alias("i"), own.alias("j")))
+    of_rest = F.concat(
+        F.transform(F.sequence(F.lit(1), F.col("p")), lambda j: F.struct(own.alias("i"), (-j).alias("j"))),
+        F.transform(rest, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))),
+    )
+    dealt = rows.select("key", "node", "root", "own", F.explode(F.when(in_top, of_top).otherwise(of_rest)).alias("pair"))
+    return dealt.select("key", "pair.i", "pair.j", "own", "node", "root")
+
+
+def crossed(parts: DataFrame, n_parts: int, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between texts of different classes in the pairs of blocks, enough of them to connect all that are near."""
+
+    def step(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, j = table.column("own").to_numpy(), table.column("j")[0].as_py()
+        left, right = table.filter(pa.array(own == table.column("i")[0].as_py())), table.filter(pa.array(own == j))
+        out = []
+        if left.num_rows and right.num_rows:
+            sides = [shingles(*common.text_bytes(x.column("text").combine_chunks())) for x in (left, right)]
+            cells = near_cells(*sides, left.num_rows, right.num_rows, similarity)
+            roots = [np.array(x.column("root").to_pylist(), object) for x in (left, right)]
+            cells &= roots[0][:, None] != roots[1][None, :]
+            out = forest(cells)
+        a, b = left.column("node").to_pylist(), right.column("node").to_pylist()
+        links = [sorted((a[x], b[y])) for x, y in out]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    joined = parts.join(texts, "node").coalesce(tasks(n_parts, TASK_TEXTS))
+    return joined.groupBy("key", "i", "j").applyInArrow(step, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): for each node of ``links`` (a, b) the smallest node connected to it.
 
@@ -209,13 +310,13 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.any_value("size").alias("size"))
     entries = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    meets = common.checkpointed(entries.join(shared, "key"))
+    meets = common.checkpointed(entries.join(shared, "key").withColumn("cross", F.col("n") * (F.col("n") - 1) / 2))
     sums = meets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("twice")).first()
-    n_open, n_cross = sums["n"], sums["twice"] // 2
+    n_open, n_cross = sums["n"], sums["twice"] // 2  # a bucket's pairs, dealt to its rows
     meets = meets.coalesce(tasks(n_open))
     roots, links = None, None
     degree = meets.groupBy("node").agg(F.sum("n").alias("degree")).coalesce(tasks(n_open))
-    open_meets = common.checkpointed(meets.select("key", "node", "size").join(degree, "node").withColumn("root", F.col("node")).coalesce(tasks(n_open)))
+    open_meets = common.checkpointed(meets.select("key", "node", "size", F.col("n").alias("c"), "cross").join(degree, "node").withColumn("root", F.col("node")).coalesce(tasks(n_open)))
     may = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity  # noqa: E731  overlap is at most the ratio of sizes
     for star in range(stars + 1):
         final = star == stars or n_cross <= PAIRS_A_ROW * n_open
@@ -224,23 +325,34 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
             centres = open_meets.groupBy("key").agg(F.max_by(F.struct("node", "root", "size"), rank).alias("centre"))
             pairs = open_meets.join(centres, "key").where((F.col("root") != F.col("centre.root")) & may("size", "centre.size")).select(*_unordered("node", "centre.node"))
         else:
+            crowded = open_meets.where(F.col("cross") > PAIRS_A_ROW * F.col("c"))
+            parts = common.checkpointed(parts_of(crowded).coalesce(tasks(n_open)))
+            n_parts = parts.count()
+            open_meets = open_meets.where(F.col("cross") <= PAIRS_A_ROW * F.col("c"))
             other = open_meets.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
             pairs = open_meets.join(other, "key").where((F.col("root") < F.col("root_b")) & may("size", "size_b")).select(*_unordered("node", "node_b"))
         pairs = common.checkpointed(pairs.coalesce(tasks(n_open)).distinct().coalesce(tasks(n_open)))
         n_pairs = pairs.count()
-        if not n_pairs and final:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        if not final:
+            new = verified(pairs, n_pairs, texts_of(wanted, 2 * n_pairs, docs), similarity)
+        elif not n_pairs and not n_parts:
             break
-        new = verified(pairs, n_pairs, docs, similarity)
+        else:
+            texts = texts_of(wanted.unionByName(parts.select("node")), 2 * n_pairs + n_parts, docs)
+            new = verified(pairs, n_pairs, texts, similarity)
+            if n_parts:
+                new = new.unionByName(crossed(parts, n_parts, texts, similarity))
         links = common.checkpointed((new if links is None else links.unionByName(new)).coalesce(tasks(n_pairs)))
         roots = common.checkpointed(components(links).coalesce(tasks(n_open)))
-        known = open_meets.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(tasks(n_open))
         if final:
             break
+        known = open_meets.drop("root", "c", "cross").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(tasks(n_open))
         by_root = known.groupBy("key", "root").agg(F.count("*").alias("c"))
         several = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s").coalesce(tasks(n_open))
-        open_meets = known.select("key", "node", "size", "degree", "root").join(several.select("key", ((F.col("c") * F.col("c") - F.col("s")) / F.col("c") / 2).alias("cross")), "key")
+        open_meets = known.select("key", "node", "size", "degree", "root").join(several.select("key", "c", ((F.col("c") * F.col("c") - F.col("s")) / 2).alias("cross")), "key")
         open_meets = common.checkpointed(open_meets.coalesce(tasks(n_open)))
-        sums = open_meets.agg(F.count("*").alias("n"), F.coalesce(F.sum("cross"), F.lit(0.0)).alias("cross")).first()
+        sums = open_meets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("cross") / F.col("c")), F.lit(0.0)).alias("cross")).first()
         n_open, n_cross = max(1, sums["n"]), sums["cross"]
     if roots is None:
         members = found.select("doc_id", "node", F.col("node").alias("root"))
