@@ -142,6 +142,8 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 TASK_ROWS, TASK_TEXTS = 60_000, 2_000
 #: Buckets with no more pairs than this for each of their rows are paired off at once.
 PAIRS_A_ROW = 4
+#: After a round of centres in which fewer than one pair in this many was near, no further round is tried.
+FUTILE = 50
 #: Weight of a block of a crowded bucket: shingles, and a further charge for each text, which bounds the texts.
 BLOCK_WEIGHT, TEXT_WEIGHT = 40_000, 40
 #: Shingles in one slice of a block's matrix.
@@ -196,9 +198,10 @@ def near_cells(left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.
         placed.append((d[here][order], at[here][order]))
     for low in range(0, len(both), SLICE):
         parts = []
+        width = min(SLICE, len(both) - low)
         for (d, at), n in zip(placed, (rows, columns)):
             i, j = np.searchsorted(at, (low, low + SLICE))
-            part = np.zeros((n, SLICE), np.float32)
+            part = np.zeros((n, width), np.float32)
             part[d[i:j], at[i:j] - low] = 1
             parts.append(part)
         shared += parts[0] @ parts[1].T
@@ -314,12 +317,12 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
     sums = meets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("twice")).first()
     n_open, n_cross = sums["n"], sums["twice"] // 2  # a bucket's pairs, dealt to its rows
     meets = meets.coalesce(tasks(n_open))
-    roots, links = None, None
+    roots, links, n_links, futile = None, None, 0, False
     degree = meets.groupBy("node").agg(F.sum("n").alias("degree")).coalesce(tasks(n_open))
     open_meets = common.checkpointed(meets.select("key", "node", "size", F.col("n").alias("c"), "cross").join(degree, "node").withColumn("root", F.col("node")).coalesce(tasks(n_open)))
     may = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity  # noqa: E731  overlap is at most the ratio of sizes
     for star in range(stars + 1):
-        final = star == stars or n_cross <= PAIRS_A_ROW * n_open
+        final = futile or star == stars or n_cross <= PAIRS_A_ROW * n_open
         if not final:
             rank = F.struct("degree", "node") if star == 0 else F.struct(F.xxhash64("key", "node", F.lit(star)), F.col("degree"), F.col("node"))
             centres = open_meets.groupBy("key").agg(F.max_by(F.struct("node", "root", "size"), rank).alias("centre"))
@@ -344,6 +347,8 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
             if n_parts:
                 new = new.unionByName(crossed(parts, n_parts, texts, similarity))
         links = common.checkpointed((new if links is None else links.unionByName(new)).coalesce(tasks(n_pairs)))
+        known_links, n_links = n_links, links.count()
+        futile = (n_links - known_links) * FUTILE < n_pairs
         roots = common.checkpointed(components(links).coalesce(tasks(n_open)))
         if final:
             break
