@@ -54,8 +54,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
+#: The order of the language model.
+ORDER = 3
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.score_all(table(spark, sf_dir, "documents"))
+    return kneser_ney.score_all(table(spark, sf_dir, "documents"), order=ORDER)
 
 
 QUERIES = {

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, kneser_ney, packing, rabitq, revisits
+from tessera.llm import bitsliced, common, kneser_ney, packing, rabitq, revisits
 
 NAN, INF = float("nan"), float("inf")
 
@@ -190,3 +190,63 @@ def test_language_model(spark):
         assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.5) / (total + 0.5 * (size + 1))) for x in w))
         assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<"] + w, w)))
     assert kneser_ney.score_all(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("order,per_shard", [(2, 300), (3, 4_000_000), (3, 300), (5, 300)])
+def test_language_model_of_longer_grams(spark, tmp_path, order, per_shard):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(x)}" for x in np.minimum(rng.geometric(0.15, rng.integers(0, 40)), 30)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, None), (201, ""), (202, " new w1 w2 new w1 w1 w1"), (203, texts[3]), (204, "w1"), (205, "w1"), *((300 + i, "w7 w8 w9 w10") for i in range(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokens = lambda t: (t or "").split() + [None]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    words, raw = Counter(), [Counter() for _ in range(order + 1)]
+    for i, t in rows:
+        if not held(i):
+            w = ["<"] + tokens(t)
+            words.update(w[1:])
+            for k in range(2, order + 1):
+                raw[k].update(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+    adjusted = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        adjusted[k] = Counter(g[1:] for g in raw[k + 1])
+        if k > 1:
+            adjusted[k].update({g: n for g, n in raw[k].items() if g[0] == "<"})
+    d = {k: kneser_ney.Discounts.of([sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]) for k, c in adjusted.items()}
+    cut = lambda k, c: float(d[k](np.array([c]))[0])
+    total, lost = Counter(), Counter()
+    for k, c in adjusted.items():
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            lost[k, g[:-1]] += cut(k, n)
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / (len(words) + 1)
+        n, all_of = adjusted[k][g], total[k, g[:-1]]
+        return max(n - cut(k, n), 0) / all_of + lost[k, g[:-1]] / all_of * lower if all_of else lower
+
+    for context in [("w1", "w2"), ("<",), ("<", "w1"), ("new", "w1"), ("w7", "w8", "w9")]:
+        assert sum(p((*context[-(order - 1) :], w)) for w in [*words, "unknown"]) == pytest.approx(1)
+    training = docs.where(~common.held_out("doc_id", 5, 1)).select("text")
+    model = kneser_ney.fit(training, training.count(), f"file://{tmp_path}", per_shard=per_shard, order=order)
+    assert (model.shards > 5 and len(model.hot) > 2) == (per_shard == 300)
+    got = {r.doc_id: r.score for r in kneser_ney.score(docs, model).collect()}
+    for i, t in rows:
+        w = ["<"] + tokens(t)
+        assert got[i] == pytest.approx(sum(math.log10(p(tuple(w[max(0, j - order + 1) : j + 1]))) for j in range(1, len(w))))
+
+
+@pytest.mark.parametrize("bits", [8, 40])
+def test_grams_as_a_tree(bits):
+    rng = np.random.default_rng(3)
+    rows = [tuple(int(x) for x in r) for r in rng.integers(0, 5, (500, 3))]
+    columns, n = kneser_ney.distinct([np.array(c, np.uint64) for c in zip(*rows)], bits)
+    columns, n = kneser_ney.decoded([a.tobytes() for a in kneser_ney.encoded(columns, n)])
+    assert list(zip(zip(*(c.tolist() for c in columns)), n.tolist())) == sorted(Counter(rows).items())
+
+
+def test_query_takes_longer_contexts():
+    from tessera.llm import queries
+
+    assert queries.ORDER >= 3
