@@ -6,20 +6,28 @@ arithmetic (carry-save adders, weight by weight). The sum's slices are walked fr
 downward to find the k-th largest sum; quantisation leaves an error with a known bound, and the rows within that
 bound of the k-th largest sum, the boundary rows, are scored exactly from their whole values.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do those with
-a quantised component beyond +-2**27, whose products could leave 64 bits; vectors are compared with vectors of
-their own dimension; repeated ids among candidates are rows of their own, repeated query ids one query.
+Vectors with a quantised component beyond +-2**27, whose products could leave 64 bits, stand in blocks of their own,
+which are scored in whole numbers of any size; they are expected to be few.
+
+Defined results: vectors that are null, empty or hold null or non-finite components take no part; sums beyond 64 bits
+count as the nearest number of 64 bits, quantised components beyond the largest double as that one; vectors are
+compared with vectors of their own dimension; repeated ids among candidates are rows of their own, repeated query ids one query.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import blocks, common
 
 LIMIT = 1 << 27
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+LARGEST = sys.float_info.max
 
 
 def pack(ids: np.ndarray, matrix: np.ndarray) -> bytes:
@@ -157,13 +165,58 @@ def best_rows(k: int, digits: int):
     return run
 
 
+def pack_wide(ids: np.ndarray, matrix: np.ndarray) -> bytes:
+    """As ``pack``, for whole values of any size, which are doubles."""
+    return np.array(matrix.shape, np.int64).tobytes() + ids.astype(np.int64).tobytes() + matrix.astype(np.float64).tobytes()
+
+
+def unpack_wide(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, dim = (int(x) for x in np.frombuffer(payload, np.int64, 2))
+    return np.frombuffer(payload, np.int64, n, 16), np.frombuffer(payload, np.float64, n * dim, 16 + 8 * n).reshape(n, dim)
+
+
+def best_wide_rows(k: int):
+    """As ``best_rows``, for blocks of ``pack_wide``: sums in long doubles find the rows that are scored exactly."""
+
+    def run(payload: bytes, wanted: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, x = unpack_wide(payload)
+        rough = x.astype(np.longdouble)
+        size = np.abs(rough)
+        out = []
+        for qid, q in zip(*unpack_wide(wanted)):
+            rows = np.flatnonzero(ids != qid)
+            about = (rough @ q.astype(np.longdouble))[rows]
+            error = (size @ np.abs(q).astype(np.longdouble))[rows] * np.finfo(np.longdouble).eps * (len(q) + 2)
+            low, high = (np.clip(v, LEAST, MOST) for v in (about - error, about + error))
+            if len(rows) > k:
+                rows = rows[high >= np.partition(low, len(low) - k)[len(low) - k]]
+            whole = [int(v) for v in q]
+            scores = [min(max(sum(int(a) * b for a, b in zip(x[i], whole)), LEAST), MOST) for i in rows]
+            top = sorted(zip((-v for v in scores), ids[rows].tolist()))[:k]
+            out += [(qid, i, -v) for v, i in top]
+        return tuple(np.array([row[c] for row in out], np.int64) for c in range(3))
+
+    return run
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 256.0, bits: int = 7, digits: int = 5, block_rows: int = 32_768, query_rows: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of floor(factor * vector), for each id divisible by ``every``."""
     rows = blocks.usable(vectors, "vec_id", "embedding", zero=True)
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: F.floor(x * F.lit(factor)).cast("double")))
-    rows = rows.where(F.forall("vector", lambda x: F.abs(x) <= LIMIT))
-    n = rows.count()
-    index = common.checkpointed(blocks.packed(rows, block_rows, pack_slices(bits), n))
+    # Spark's floor gives 64 bits; doubles from 2**53 on are whole
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: F.greatest(F.least(x * F.lit(factor), F.lit(LARGEST)), F.lit(-LARGEST))))
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)))
+    narrow = F.forall("vector", lambda x: F.abs(x) <= LIMIT)
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(~narrow).alias("wide")).first()
+    plain, n = rows.where(narrow), counts["n"] - counts["wide"]
+    index = common.checkpointed(blocks.packed(plain, block_rows, pack_slices(bits), n))
     queries = blocks.queries_of(rows, every)
-    packed = common.checkpointed(blocks.packed(queries, query_rows, pack, 0))
-    return blocks.search(index, packed, best_rows(k, digits), k, "long")
+    packed = common.checkpointed(blocks.packed(queries.where(narrow), query_rows, pack, 0))
+    found = blocks.search(index, packed, best_rows(k, digits), k, "long")
+    if not counts["wide"]:
+        return found
+    for own, n_own, asked in ((rows.where(~narrow), counts["wide"], queries), (plain, n, queries.where(~narrow))):
+        index = common.checkpointed(blocks.packed(own, block_rows, pack_wide, n_own))
+        packed = common.checkpointed(blocks.packed(asked, query_rows, pack_wide, 0))
+        found = found.unionByName(blocks.search(index, packed, best_wide_rows(k), k, "long"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

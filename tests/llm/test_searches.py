@@ -51,6 +51,20 @@ def test_bit_sliced_search_is_exact(spark, scale, dim):
     assert got == brute(rows, 50, 5, lambda v: [math.floor(256 * float(np.float32(x))) for x in v], lambda v: True)
 
 
+def test_bit_sliced_search_of_large_values(spark):
+    large = [(2000, [6e5, 1.0]), (2001, [-6e5, 3.0]), (2002, [1e12, -1e12]), (2050, [1e12, 1e12]), (2003, [3e38, 3e38]), (2004, [3e38, 2e38]), (2100, [-3e38, 1.5])]
+    rows = [(i, v) for i, v in some(200, 2, scale=300.0) + ODD + large]
+    got = by_query(bitsliced.search(vectors(spark, rows), block_rows=90, query_rows=3))
+    value = lambda v: [math.floor(256 * float(np.float32(x))) for x in v]
+    good = [(i, value(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    expected = {}
+    for q, x in ((i, v) for i, v in good if i % 50 == 0):
+        score = lambda y: min(max(sum(a * b for a, b in zip(x, y)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        found = sorted((-score(y), i) for i, y in good if i != q and len(y) == len(x))[:5]
+        expected[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert got == expected and {2000, 2050, 2100} <= set(got)
+
+
 def test_bitmap_sums():
     rng = np.random.default_rng(4)
     bits = rng.integers(0, 2, (40, 128))
