@@ -371,18 +371,27 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
 def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stand for their classes: the smallest doc_id of each, one row of it.
 
-    A class without any id keeps one row. What is dropped decides how the rows are filtered: ids of dropped rows
+    A class without any id keeps one row. Rows whose id stands on different texts are told apart by text. What is dropped decides how the rows are filtered: ids of dropped rows
     are broadcast while they are few, and joined by shuffling beyond that."""
     found = common.checkpointed(labelled(docs, similarity))
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False))
     dropped = common.checkpointed(found.where(~kept & F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    named = docs.where(F.col("doc_id").isNotNull()).join(sized(dropped, dropped.count()), "doc_id", "left_anti")
+    node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    named = docs.where(F.col("doc_id").isNotNull())
+    mixed = common.checkpointed(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id"))
+    n_mixed, apart = mixed.count(), None
+    if n_mixed:
+        chosen = found.where(kept).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("_node")).select("doc_id", "_node")
+        apart = named.join(sized(mixed, n_mixed), "doc_id", "left_semi").withColumn("_node", node).join(chosen, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"]).select(docs.columns)
+        named = named.join(sized(mixed, n_mixed), "doc_id", "left_anti")
+    named = named.join(sized(dropped, dropped.count()), "doc_id", "left_anti")
     repeated = common.checkpointed(found.where(kept).groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.isEmpty():
         named = named.join(repeated, "doc_id", "left_anti").unionByName(named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if apart is not None:
+        named = named.select(docs.columns).unionByName(apart)
     nameless = common.checkpointed(found.where(F.col("class_id").isNull()).groupBy("root").agg(F.min("node").alias("node")))
     if nameless.isEmpty():
         return named
-    node = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     others = docs.where(F.col("doc_id").isNull()).withColumn("_node", node).join(nameless.select(F.col("node").alias("_node")), "_node", "left_semi")
     return named.unionByName(others.dropDuplicates(["_node"]).select(docs.columns))

@@ -175,3 +175,13 @@ def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_ids_on_different_texts_keep_one_row_of_each_class(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (1, b + " more"), (9, c), (9, "z " + c), (8, "x y"), (8, "u v"), (8, "u v")]
+    got = bagminhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 8, 8, 9]
+    rows = [(3, a), (7, a), (7, b)]
+    got = bagminhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, a), (7, b)]
