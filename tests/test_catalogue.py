@@ -1,10 +1,12 @@
 """Every query of the catalogue against its SQL on the smallest tables."""
 
 import math
+import sys
 
 import duckdb
 import pytest
 
+import __spark_entry__
 from tessera import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +36,10 @@ def test_query(spark, sql, name):
     own = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     other = sorted((tuple(plain(dict(zip(expected.columns, r))[c]) for c in columns) for r in expected.fetchall()), key=repr)
     assert own == other
+
+
+def test_entry_point_without_the_training_data_part(monkeypatch):
+    """The other queries stay, though the pipeline's file is there."""
+    monkeypatch.setitem(sys.modules, "tessera.llm", None)
+    assert list(__spark_entry__.queries()) == list(queries.QUERIES)
+    assert list(__spark_entry__.oracle_sql()) == list(queries.ORACLE_SQL)
