@@ -10,10 +10,11 @@ which depends on the text's total weight; texts that have an empty component go
 
 Signatures are cut into bands. Texts that agree in a band meet in its bucket. A bucket links its texts to a centre
 (the text that meets most others); links are verified by exact multiset overlap; connected texts form classes.
-Buckets whose texts ended in several classes are gone through again with other centres. What is left after some
-rounds is settled whole: in small buckets pair by pair, in crowded ones block against block, where one matrix product
-gives all overlaps and only a spanning forest of the links comes out. So dense groups cost about one link for each
-text, and no link between texts that meet is lost.
+Buckets whose texts ended in several classes are gone through again with other centres, as long as that links any
+number of texts. What is then left is settled whole: its texts are entered under the rarest members of their sets, as
+many as two near texts can't both do without, and all pairs of texts that meet there are verified. So dense groups
+cost about one link for each text, loose ones little more than their texts, and no link between texts that meet in
+a band is lost.
 
 Exact copies are one node from the start. Defined results: texts of fewer than five words are one shingle; empty
 and null texts are copies of one another and near no other text; repeated rows and rows with a null id take part
@@ -101,12 +102,21 @@ def bands(times: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets given as sorted hashes and weights."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = int(np.minimum(a[1][i], b[1][j]).sum())
-    union = int(a[1].sum() + b[1].sum()) - shared
-    return shared / union if union else 0.0
+def members(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's multiset as a set, sorted: a shingle of weight w has w members. And where each text starts."""
+    nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    out = common.mix64(np.repeat(shingle, weight) + _GOLDEN * nth.astype(np.uint64)).view(np.int64)
+    doc = np.repeat(doc, weight)
+    order = np.lexsort((out, doc))
+    return out[order], np.searchsorted(doc[order], np.arange(docs + 1))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two multisets given by their sorted members."""
+    if not len(a) or not len(b):
+        return 0.0
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return shared / (len(a) + len(b) - shared)
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
@@ -138,139 +148,65 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
-#: Rows of small tables, and texts, that one task takes on. Tasks of few rows would each leave shuffle files.
-TASK_ROWS, TASK_TEXTS = 60_000, 2_000
-#: Buckets with no more pairs than this for each of their rows are paired off at once.
-PAIRS_A_ROW = 4
-#: After a round of centres in which fewer than one pair in this many was near, no further round is tried.
+#: Rows of ids that one task takes on. Tasks of few rows would each leave shuffle files.
+TASK_ROWS = 60_000
+#: Rounds of centres end with one in which fewer than one pair in this many was near; the rest is settled whole.
 FUTILE = 50
-#: Weight of a block of a crowded bucket: shingles, and a further charge for each text, which bounds the texts.
-BLOCK_WEIGHT, TEXT_WEIGHT = 40_000, 40
-#: Shingles in one slice of a block's matrix.
-SLICE = 4096
 
 
-def tasks(rows: int, each: int = TASK_ROWS) -> int:
-    return max(1, -(-rows // each))
+def tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
 
+def sets_of(wanted: DataFrame, n_wanted: int, docs: DataFrame) -> DataFrame:
+    """(node, members) of the nodes in ``wanted``, of which there are ``n_wanted``, from their whole texts."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, starts = members(*shingles(*common.text_bytes(batch.column("text"))), batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found))], ["node", "members"])
 
-def texts_of(wanted: DataFrame, n_nodes: int, docs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in ``wanted``, of which there are at most ``n_nodes`` rows."""
-    wanted = common.checkpointed(wanted.distinct().coalesce(tasks(n_nodes)))
-    n_texts = wanted.count()
-    texts = _texts(docs).join(sized(wanted, n_texts), "node", "left_semi")
-    return common.checkpointed(texts.groupBy("node").agg(F.any_value("text").alias("text")).coalesce(tasks(n_texts, TASK_TEXTS)))
+    texts = _texts(docs).join(sized(wanted, n_wanted), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    return common.map_arrow(texts, step, "node binary, members array<long>", rows=512)
 
 
-def verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of those pairs of nodes whose texts overlap by ``similarity`` or more, from the whole texts."""
-    joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").coalesce(tasks(n_pairs, TASK_TEXTS))
-    joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").coalesce(tasks(n_pairs, TASK_TEXTS // 4))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those pairs of nodes whose sets overlap by ``similarity`` or more."""
+    joined = pairs
+    for side in ("b", "a"):
+        joined = joined.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"of_{side}")), side)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sides = []
-        for name in ("text_a", "text_b"):
-            data, starts = common.text_bytes(batch.column(name))
-            d, s, w = shingles(data, starts)
-            cut = np.searchsorted(d, np.arange(batch.num_rows + 1))
-            sides.append([(s[i:j], w[i:j]) for i, j in zip(cut, cut[1:])])
+        for column in (batch.column("of_a"), batch.column("of_b")):
+            values, at = column.values.to_numpy(), column.offsets.to_numpy()
+            sides.append([values[i:j] for i, j in zip(at, at[1:])])
         near = pa.array([overlap(x, y) >= similarity for x, y in zip(*sides)], pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["a", "b"])
 
-    return common.map_arrow(joined.select("a", "b", "text_a", "text_b"), step, "a binary, b binary", rows=256)
-
-
-def near_cells(left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, columns: int, similarity: float) -> np.ndarray:
-    """Which texts of one block overlap which of another by ``similarity`` or more; blocks as ``shingles`` gives them.
-
-    A shingle of weight w becomes w members of a set, so that shared weights are products of zeros and ones."""
-    sides = []
-    for d, s, w in (left, right):
-        nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        sides.append((np.repeat(d, w), common.mix64(np.repeat(s, w) + _GOLDEN * nth.astype(np.uint64))))
-    both = np.intersect1d(sides[0][1], sides[1][1])
-    shared = np.zeros((rows, columns))
-    placed = []
-    for d, member in sides:
-        at = np.minimum(np.searchsorted(both, member), max(len(both) - 1, 0))
-        here = both[at] == member if len(both) else np.zeros(len(member), bool)
-        order = np.argsort(at[here], kind="stable")
-        placed.append((d[here][order], at[here][order]))
-    for low in range(0, len(both), SLICE):
-        parts = []
-        width = min(SLICE, len(both) - low)
-        for (d, at), n in zip(placed, (rows, columns)):
-            i, j = np.searchsorted(at, (low, low + SLICE))
-            part = np.zeros((n, width), np.float32)
-            part[d[i:j], at[i:j] - low] = 1
-            parts.append(part)
-        shared += parts[0] @ parts[1].T
-    size = [np.bincount(d, w, n) for (d, _, w), n in ((left, rows), (right, columns))]
-    union = size[0][:, None] + size[1][None, :] - shared
-    return (union > 0) & (shared / np.maximum(union, 1) >= similarity)
-
-
-def forest(cells: np.ndarray) -> list[tuple[int, int]]:
-    """Cells of a matrix of links between rows and columns that connect all that the whole matrix connects."""
-    open_rows, open_columns = cells.any(1), np.ones(cells.shape[1], bool)
-    out: list[tuple[int, int]] = []
-    while open_rows.any():
-        ahead = [(True, int(open_rows.argmax()))]
-        open_rows[ahead[0][1]] = False
-        while ahead:
-            is_row, at = ahead.pop()
-            free = open_columns if is_row else open_rows
-            new = np.flatnonzero((cells[at] if is_row else cells[:, at]) & free)
-            free[new] = False
-            out += [(at, int(n)) if is_row else (int(n), at) for n in new]
-            ahead += [(not is_row, int(n)) for n in new]
-    return out
+    return common.map_arrow(joined.select("a", "b", "of_a", "of_b"), step, "a binary, b binary", rows=256)
+
 
+def meeting(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``texts`` (node, root, size) of different roots, among them all that overlap by ``similarity``.
 
-def parts_of(crowded: DataFrame) -> DataFrame:
-    """key, i, j, own, node, root: the rows of crowded buckets, dealt to pairs of blocks.
-
-    A bucket's largest class is cut into blocks -1, -2 ... and all else into blocks 0, 1 ...; each block of the
-    rest (i) is held against every block (j), so texts of the largest class never meet one another."""
-    weight = F.col("size") + TEXT_WEIGHT
-    by_root = crowded.groupBy("key", "root").agg(F.struct(F.count("*").alias("c"), F.sum(weight).alias("w"), F.col("root").alias("largest")).alias("held"))
-    plan = by_root.groupBy("key").agg(F.max("held").alias("top"), F.sum("held.w").alias("w"))
-    blocks = lambda w: F.greatest(F.ceil(w / BLOCK_WEIGHT), F.lit(1)).cast("int")
-    plan = plan.select("key", F.col("top.largest").alias("largest"), blocks(F.col("top.w")).alias("p"), blocks(F.col("w") - F.col("top.w")).alias("q"))
-    in_top = F.col("root") == F.col("largest")
-    place = F.pmod(F.xxhash64("node"), F.when(in_top, F.col("p")).otherwise(F.col("q"))).cast("int")
-    rows = crowded.join(plan, "key").withColumn("own", F.when(in_top, -1 - place).otherwise(place))
-    rest = F.sequence(F.lit(0), F.col("q") - 1)
-    own = F.col("own")
-    of_top = F.transform(rest, lambda i: F.struct(i.alias("i"), own.alias("j")))
-    of_rest = F.concat(
-        F.transform(F.sequence(F.lit(1), F.col("p")), lambda j: F.struct(own.alias("i"), (-j).alias("j"))),
-        F.transform(rest, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))),
-    )
-    dealt = rows.select("key", "node", "root", "own", F.explode(F.when(in_top, of_top).otherwise(of_rest)).alias("pair"))
-    return dealt.select("key", "pair.i", "pair.j", "own", "node", "root")
-
-
-def crossed(parts: DataFrame, n_parts: int, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between texts of different classes in the pairs of blocks, enough of them to connect all that are near."""
-
-    def step(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        own, j = table.column("own").to_numpy(), table.column("j")[0].as_py()
-        left, right = table.filter(pa.array(own == table.column("i")[0].as_py())), table.filter(pa.array(own == j))
-        out = []
-        if left.num_rows and right.num_rows:
-            sides = [shingles(*common.text_bytes(x.column("text").combine_chunks())) for x in (left, right)]
-            cells = near_cells(*sides, left.num_rows, right.num_rows, similarity)
-            roots = [np.array(x.column("root").to_pylist(), object) for x in (left, right)]
-            cells &= roots[0][:, None] != roots[1][None, :]
-            out = forest(cells)
-        a, b = left.column("node").to_pylist(), right.column("node").to_pylist()
-        links = [sorted((a[x], b[y])) for x, y in out]
-        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
-
-    joined = parts.join(texts, "node").coalesce(tasks(n_parts, TASK_TEXTS))
-    return joined.groupBy("key", "i", "j").applyInArrow(step, "a binary, b binary")
+    All members have one order, by how many of these texts hold them, the rarest first. Where two texts are near, the
+    first member that both hold has a place in each that leaves enough after it; so a text is entered under those of
+    its first members only after which enough is left. Members that no other text holds come first and need no entry:
+    a text that has many is near no other, and the loose copies of one text, each with changes of its own, part here."""
+    own = texts.select("node").join(sets, "node")
+    held = own.select("node", F.explode("members").alias("member"))
+    times = held.groupBy("member").agg(F.count("*").alias("n")).where("n > 1")
+    shared = held.join(times, "member").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "member"))).alias("shared"))
+    alone = F.col("size") - F.size("shared")
+    tried = F.floor(F.col("size") * (1 - similarity) + 1e-6) - alone + 1
+    entries = shared.join(texts, "node").select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("shared", 1, F.greatest(F.lit(0), tried).cast("int"))).alias("place", "of"))
+    entries = entries.select("node", "root", "size", (F.col("size") - F.col("alone") - F.col("place")).alias("left"), F.col("of.member").alias("member"))
+    enough = lambda left, sizes: left * (1 + similarity) >= sizes * similarity - 1e-6
+    smaller = entries.where(enough(F.col("left"), 2 * F.col("size"))).alias("x")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    ordered = (x("size") < y("size")) | (x("size") == y("size")) & (x("node") < y("node"))
+    fit = ordered & (x("root") != y("root")) & enough(F.least(x("left"), y("left")), x("size") + y("size"))
+    return smaller.join(entries.alias("y"), (x("member") == y("member")) & fit).select(*_unordered("x.node", "y.node"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,65 +243,44 @@ def classes(docs: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFra
 def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
     """doc_id, node, root, class_id, class_size: one row for each row of ``docs``; root names the class.
 
-    Up to ``stars`` rounds link each bucket's texts to one centre; what they leave is paired off in full, as is all
-    from the start where the buckets' pairs are no more than a few for each of their rows."""
+    Up to ``stars`` rounds link each bucket's texts to its centre: in the first round the text that meets most others,
+    then one chosen by hash. The texts of buckets that still have several roots are settled by ``meeting``. The table
+    of texts that share a bucket has one row for each of them, with their keys and their root as it is known so far."""
     found = common.checkpointed(nodes_of(docs))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.any_value("size").alias("size"))
+    nodes = found.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("size").alias("size"))
     entries = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    meets = common.checkpointed(entries.join(shared, "key").withColumn("cross", F.col("n") * (F.col("n") - 1) / 2))
-    sums = meets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("twice")).first()
-    n_open, n_cross = sums["n"], sums["twice"] // 2  # a bucket's pairs, dealt to its rows
-    meets = meets.coalesce(tasks(n_open))
-    roots, links, n_links, futile = None, None, 0, False
-    degree = meets.groupBy("node").agg(F.sum("n").alias("degree")).coalesce(tasks(n_open))
-    open_meets = common.checkpointed(meets.select("key", "node", "size", F.col("n").alias("c"), "cross").join(degree, "node").withColumn("root", F.col("node")).coalesce(tasks(n_open)))
-    may = lambda a, b: F.least(a, b) >= F.greatest(a, b) * similarity  # noqa: E731  overlap is at most the ratio of sizes
-    for star in range(stars + 1):
-        final = futile or star == stars or n_cross <= PAIRS_A_ROW * n_open
-        if not final:
-            rank = F.struct("degree", "node") if star == 0 else F.struct(F.xxhash64("key", "node", F.lit(star)), F.col("degree"), F.col("node"))
-            centres = open_meets.groupBy("key").agg(F.max_by(F.struct("node", "root", "size"), rank).alias("centre"))
-            pairs = open_meets.join(centres, "key").where((F.col("root") != F.col("centre.root")) & may("size", "centre.size")).select(*_unordered("node", "centre.node"))
-        else:
-            crowded = open_meets.where(F.col("cross") > PAIRS_A_ROW * F.col("c"))
-            parts = common.checkpointed(parts_of(crowded).coalesce(tasks(n_open)))
-            n_parts = parts.count()
-            open_meets = open_meets.where(F.col("cross") <= PAIRS_A_ROW * F.col("c"))
-            other = open_meets.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-            pairs = open_meets.join(other, "key").where((F.col("root") < F.col("root_b")) & may("size", "size_b")).select(*_unordered("node", "node_b"))
-        pairs = common.checkpointed(pairs.coalesce(tasks(n_open)).distinct().coalesce(tasks(n_open)))
-        n_pairs = pairs.count()
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        if not final:
-            new = verified(pairs, n_pairs, texts_of(wanted, 2 * n_pairs, docs), similarity)
-        elif not n_pairs and not n_parts:
-            break
+    texts = common.checkpointed(entries.join(shared, "key").groupBy("node").agg(F.any_value("size").alias("size"), F.sum("n").alias("degree"), F.collect_list("key").alias("keys")))
+    n_texts = texts.count()
+    sets = common.checkpointed(sets_of(texts.select("node"), n_texts, docs))
+    rooted, links, n_links, n_new, n_pairs = texts.withColumn("root", F.col("node")), None, 0, 0, 0
+    may = F.least("size", "centre.size") >= F.greatest("size", "centre.size") * similarity  # overlap is at most the ratio of sizes
+    for star in range(stars + 1 if n_texts else 0):
+        rank = F.struct("degree", "node") if star == 0 else F.struct(F.xxhash64("node", F.lit(star)), F.col("node"))
+        rows = rooted.select("node", "root", "size", rank.alias("rank"), F.explode("keys").alias("key"))
+        buckets = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max_by(F.struct("node", "root", "size"), "rank").alias("centre")).where("low < high")
+        last = star == stars or star > 0 and n_new * FUTILE < max(1, n_pairs)
+        if last:
+            left = rows.join(buckets.select("key"), "key", "left_semi").groupBy("node").agg(F.any_value("root").alias("root"), F.any_value("size").alias("size"))
+            pairs = meeting(common.checkpointed(left.coalesce(tasks(n_texts))), sets, similarity)
         else:
-            texts = texts_of(wanted.unionByName(parts.select("node")), 2 * n_pairs + n_parts, docs)
-            new = verified(pairs, n_pairs, texts, similarity)
-            if n_parts:
-                new = new.unionByName(crossed(parts, n_parts, texts, similarity))
-        links = common.checkpointed((new if links is None else links.unionByName(new)).coalesce(tasks(n_pairs)))
-        known_links, n_links = n_links, links.count()
-        futile = (n_links - known_links) * FUTILE < n_pairs
-        roots = common.checkpointed(components(links).coalesce(tasks(n_open)))
-        if final:
+            pairs = rows.join(buckets, "key").where((F.col("root") != F.col("centre.root")) & may).select(*_unordered("node", "centre.node"))
+        pairs = common.checkpointed(pairs.distinct())
+        n_pairs, n_new = pairs.count(), 0
+        if n_pairs:
+            new = verified(pairs, sets, similarity)
+            links = common.checkpointed(new if links is None else links.unionByName(new))
+            n_new, n_links = links.count() - n_links, links.count()
+        if n_new:
+            roots = common.checkpointed(components(links))
+            rooted = common.checkpointed(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        if last:
             break
-        known = open_meets.drop("root", "c", "cross").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).coalesce(tasks(n_open))
-        by_root = known.groupBy("key", "root").agg(F.count("*").alias("c"))
-        several = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s")).where("c * c > s").coalesce(tasks(n_open))
-        open_meets = known.select("key", "node", "size", "degree", "root").join(several.select("key", "c", ((F.col("c") * F.col("c") - F.col("s")) / 2).alias("cross")), "key")
-        open_meets = common.checkpointed(open_meets.coalesce(tasks(n_open)))
-        sums = open_meets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("cross") / F.col("c")), F.lit(0.0)).alias("cross")).first()
-        n_open, n_cross = max(1, sums["n"]), sums["cross"]
-    if roots is None:
-        members = found.select("doc_id", "node", F.col("node").alias("root"))
-    else:
-        members = found.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    members = common.checkpointed(members)
-    sizes = members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return members.join(sizes, "root")
+    rows = found.select("doc_id", "node")
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if n_links else rows.withColumn("root", F.col("node"))
+    rows = common.checkpointed(rows)
+    sizes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(sizes, "root")
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

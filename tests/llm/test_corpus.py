@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -91,53 +90,35 @@ def test_classes_equal_brute_force(spark):
     assert bagminhash.classes(docs.limit(0)).count() == 0 and bagminhash.deduplicated(docs.limit(0)).count() == 0
 
 
-def test_blocks_against_pairs():
-    texts = family(60, 12, 3, 7) + ["a b a b a b a b a b a", "a b a b a b a b a", "a b c", "", "long " * 9000, "long " * 8000]
+def as_sets(texts):
     data, starts = common.text_bytes(pa.array(texts))
-    all_of_them = bagminhash.shingles(data, starts)
-    cells = bagminhash.near_cells(all_of_them, all_of_them, len(texts), len(texts), 0.8)
+    found, cut = bagminhash.members(*bagminhash.shingles(data, starts), len(texts))
+    return [found[i:j] for i, j in zip(cut, cut[1:])]
+
+
+def test_overlap_of_sets():
+    texts = family(60, 12, 3, 7) + ["a b a b a b a b a b a", "a b a b a b a b a", "a b c", "", " ", "long " * 9000, "long " * 8000]
+    sets = as_sets(texts)
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
-            assert cells[i, j] == (jaccard(multiset(a), multiset(b)) >= 0.8)
-
-
-def test_forest_connects_what_cells_connect():
-    r = np.random.default_rng(3)
-    for density in (0.0, 0.02, 0.1, 1.0):
-        cells = r.random((30, 40)) < density
-
-        def groups(links):
-            of = {("r", i): i for i in range(30)} | {("c", i): 30 + i for i in range(40)}
-            for i, j in links:
-                old, new = of["c", j], of["r", i]
-                of = {k: new if v == old else v for k, v in of.items()}
-            return sorted(sorted(k for k in of if of[k] == v) for v in set(of.values()))
-
-        few = bagminhash.forest(cells)
-        assert groups(few) == groups(zip(*np.nonzero(cells))) and len(few) < 70 and all(cells[i, j] for i, j in few)
-
-
-@pytest.mark.parametrize("one_class", [False, True])
-def test_crowded_bucket_equals_brute_force(spark, monkeypatch, one_class):
-    monkeypatch.setattr(bagminhash, "BLOCK_WEIGHT", 900)
-    texts = family(80, 30, 2, 11) + family(80, 20, 5, 12) + family(90, 4, 1, 13)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    nodes = bagminhash._texts(docs)
-    root = F.when((F.col("doc_id") < 31) & F.lit(one_class), F.lit(b"0" * 16)).otherwise(F.col("node"))
-    crowded = nodes.select(F.lit(1).alias("key"), "node", root.alias("root"), F.lit(80).alias("size"))
-    parts = bagminhash.parts_of(crowded)
-    assert parts.select("i", "j").distinct().count() > 10
-    links = bagminhash.crossed(parts, parts.count(), nodes.select("node", "text"), 0.8)
-    ids = {bytes(r.node): r.doc_id for r in nodes.collect()}
-    group = list(range(len(texts)))
-    for a, b in [(ids[bytes(r.a)], ids[bytes(r.b)]) for r in links.collect()] + [(0, i) for i in range(31) if one_class]:
-        group = [group[a] if g == group[b] else g for g in group]
-    want = brute_classes(list(enumerate(texts)))
-    same = lambda x: [[i for i in range(len(x)) if x[i] == x[j]] for j in range(len(x))]
-    if not one_class:
-        assert same(group) == same(want)
-    else:
-        assert all(set(a) <= set(b) for a, b in zip(same(want), same(group)))
+            assert bagminhash.overlap(sets[i], sets[j]) == pytest.approx(jaccard(multiset(a), multiset(b)))
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95, 1.0])
+def test_meeting_loses_no_near_pair(spark, similarity):
+    """Loose and dense families, texts of different lengths, one class of many texts: all near pairs of different classes."""
+    texts = family(80, 20, 2, 11) + family(80, 20, 5, 12) + family(90, 4, 1, 13) + ["a b c", "A b c", "a b", "w w w w w w w w", "w w w w w w w w w"]
+    texts += [" ".join(texts[0].split()[:n]) for n in (40, 60, 64, 66, 70, 79)] + [t + " w w w w w w w w" for t in texts[:3]]
+    root = [b"\0\0" if i < 8 else bytes([1, i]) for i in range(len(texts))]
+    sets = as_sets(texts)
+    rows = [(bytes([i]), root[i], len(x), x.tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node binary, root binary, size long, members array<long>")
+    found = {(r.a[0], r.b[0]) for r in bagminhash.meeting(df.drop("members"), df.select("node", "members"), similarity).collect()}
+    near = {(j, i) for i in range(len(texts)) for j in range(i) if root[i] != root[j] and bagminhash.overlap(sets[i], sets[j]) >= similarity}
+    assert near <= found and all(root[i] != root[j] for i, j in found)
+    if similarity == 0.8:  # copies of one text with five changes each are not near one another
+        loose = set(range(21, 42))
+        assert sum(i in loose and j in loose for i, j in found) < 21
 
 
 def test_components(spark):
