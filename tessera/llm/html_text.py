@@ -1,20 +1,28 @@
 """Main text of HTML pages by two passes of block rules.
 
-Pass one cuts a page into blocks and decides those that are clear: by where they stand (navigation, footers,
-forms, adverts, comments ... never hold the article), by link density, and by length together with the share of
-stop words. Pass two lets each block that stayed open, most of them short, take the label of the nearest decided
-blocks: that of both sides where they agree, else that of the nearer one (of two as near, the good one). The borders of an article element count
-as decided neighbours of the blocks inside it.
+A page is read once, left to right, into blocks. Elements that never hold an article (navigation, footers, forms,
+hidden parts) and elements marked by a class, id or role of such a name are outside. Pass one decides the blocks that
+are clear: by link density, and by length together with the share of stop words. Pass two lets each block that
+stayed open, most of them short, take the label of the nearest decided blocks: that of both sides where they agree,
+else that of the nearer one (of two as near, the good one). The borders of an article element count as decided
+neighbours of the blocks inside it.
+
+Lengths are in UTF-8 bytes, so a language that writes a word in one or two characters isn't taken for short blocks.
+On a page that hardly has any of the stop words, its language is taken to be another one: length and link density
+then decide alone. On a page where the marks leave nothing, they count for nothing.
 
 Defined results: null and empty pages have an empty text; text outside any element is a block; broken markup
-(unclosed elements, stray end tags, a page cut anywhere) is read as far as it goes; repeated rows give equal rows.
+(unclosed elements and quotes, stray end tags, a page cut anywhere) is read as far as it goes: a tag without an end
+is dropped with what follows it, an unclosed quote ends with its tag; pages of any length are read whole, in time
+that grows with their length; repeated rows give equal rows; further columns of ``pages`` are left out.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,29 +37,103 @@ STOP_WORDS = frozenset(
     "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous à été être "
     "al como con de del e el ella en entre era es esta este ha hay la las lo los más me mi muy no o para pero por que se si sin sobre son su sus también un una y ya".split()
 )
-#: Elements whose content is no text of the page.
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object")
+#: Elements whose content is no text of the page, to their end tag or the end of the page ...
+RAW = frozenset(("script", "style"))
+#: ... or, where there is no end tag, to the next tag.
+HEAD = frozenset(("title", "textarea"))
 #: Elements that never hold the article.
-OUTSIDE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "header"))
+OUTSIDE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "header", "noscript", "template"))
 #: Elements that hold it.
 INSIDE = frozenset(("article", "main"))
-#: Parts of class, id and role values that tell the same.
-_MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+#: Class, id and role values that tell the same, and words that such a value may be joined to by a hyphen or underscore.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button".split())
+BESIDE = frozenset("a area bar bottom box block button buttons card container global icons inner item items left links list main outer page panel policy posts primary right row secondary section site thread top unit wrap wrapper".split())
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav noscript ol option p pre section select summary table tbody td template tfoot th thead tr ul button".split())
 _SHORT = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr td th thead tbody tfoot option hr html body".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?=(" + "|".join(RAW) + r")\b)[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_VALUE = re.compile(r"=\s*")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ENDS = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW | HEAD}
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """Where each tag begins and ends, its name, its attributes, and whether it is an end tag; the name is empty for
+    comments, declarations and elements that are no text. What is searched for in vain is not searched for again."""
+    at, size, absent = 0, len(page), set()
+
+    def find(what: str, start: int) -> int:
+        place = -1 if what in absent else page.find(what, start)
+        if place < 0:
+            absent.add(what)
+        return place
+
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("!--", at):
+            end = find("-->", at + 1)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", False
+            continue
+        closing = page.startswith("/", at)
+        name = _NAME.match(page, at + closing)
+        if not name:
+            if page.startswith(("!", "?", "/"), at):
+                end = find(">", at)
+                at = size if end < 0 else end + 1
+                yield start, at, "", "", False
+            continue
+        here, end = name.end(), find(">", name.end())
+        while end >= 0 and (sign := page.find("=", here, end)) >= 0:  # a quote after this sign may hold the next >
+            here = _VALUE.match(page, sign).end()
+            if page[here : here + 1] in ('"', "'") and (close := find(page[here], here + 1)) >= 0:
+                here = close + 1
+                end = find(">", here) if here > end else end
+        at = size if end < 0 else end + 1
+        tag = name[0].lower()
+        if not closing and tag in _ENDS and end >= 0 and not page.endswith("/", start, end):
+            close = None if tag in absent else _ENDS[tag].search(page, at)
+            if close:
+                end = find(">", close.end())
+                at = size if end < 0 else end + 1
+            else:
+                absent.add(tag)
+                at = size if tag in RAW else (page.find("<", at) + 1 or size + 1) - 1
+            tag = ""
+        yield start, at, tag, "" if end < 0 or closing or not tag else page[name.end() : end], closing
+
+
+def is_mark(value: str) -> bool:
+    """Whether a class, id or role names a part outside: a mark, or several words of which one is and no other tells otherwise."""
+    parts = value.lower().replace("_", "-").strip("-").split("-")
+    return not MARKS.isdisjoint(parts) and all(p in MARKS or p in BESIDE or p.isdigit() for p in parts)
+
+
+def read_attributes(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, whether a name marks it as outside, and whether it is marked by nothing but ``header``."""
+    hidden, marks = False, set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
+        if name in ("class", "id", "role"):
+            marks |= {v.lower() for v in html.unescape(value).split() if is_mark(v)}
+        elif name == "hidden":
+            hidden = hidden or value.lower() not in ("false", "until-found")
+        elif name == "aria-hidden":
+            hidden = hidden or value.lower() == "true"
+        elif name == "style":
+            style = "".join(value.lower().split())
+            hidden = hidden or "display:none" in style or "visibility:hidden" in style
+    return hidden, bool(marks), marks == {"header"}
 
 
 @dataclass
 class Block:
     text: str
-    linked: int  # characters inside links
+    size: int  # bytes
+    linked: int  # bytes inside links
     outside: bool
+    marked: bool  # outside by a mark alone
     inside: bool
     article: int  # number of the article element, 0 for none
     good: bool | None = None
@@ -59,7 +141,7 @@ class Block:
 
 @dataclass
 class Rules:
-    """Limits of pass one: lengths in characters, densities as shares."""
+    """Limits of pass one: lengths in bytes, densities as shares."""
 
     most_linked: float = 0.5
     short: int = 70
@@ -67,15 +149,20 @@ class Rules:
     few_stop_words: float = 0.08
     many_stop_words: float = 0.25
     main_share: float = 0.2
+    no_stop_words: float = 0.01
 
 
 @dataclass
 class _Reader:
+    """What has been read so far. The stack holds tags with whether they are outside, outside by a mark, inside, and in which article."""
+
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, bool, bool, int]] = field(default_factory=list)  # tag, outside, inside, article
+    stack: list[tuple[str, bool, bool, bool, int]] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)  # where in the stack each tag is
     parts: list[str] = field(default_factory=list)
-    links: int = 0
+    link: bool = False
     linked: int = 0
+    hidden: bool = False
     marked: bool = False
     articles: int = 0
     breaks: int = 0
@@ -86,94 +173,105 @@ class _Reader:
             self.parts.append(raw)
             if raw.strip():
                 self.breaks = 0
-                if self.links:
-                    self.linked += len(raw.strip())
+                if self.link:
+                    self.linked += len(raw.strip().encode("utf-8", "replace"))
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, outside, inside, article = self.stack[-1] if self.stack else ("", False, False, 0)
-                self.blocks.append(Block(text, self.linked, outside or self.marked, inside, article))
+                _, outside, marked, inside, article = self.stack[-1] if self.stack else ("", False, False, False, 0)
+                self.blocks.append(Block(text, len(text.encode("utf-8", "replace")), self.linked, outside or self.hidden, marked or self.marked, inside, article))
             self.parts = []
         self.linked, self.breaks = 0, 0
 
     def opened(self, tag: str, attributes: str) -> None:
         if tag == "a":
-            self.links = 1
+            self.link = True
         elif tag == "br":
             self.breaks += 1
             self.flush() if self.breaks > 1 else self.parts.append("\n")
         if tag not in _BLOCKS:
             return
         self.flush()
-        self.links = 0
-        names = {n for m in _ATTRIBUTE.finditer(attributes) for n in _NAME.findall((m[2] or m[3] or m[4] or "").lower())} if "=" in attributes else set()
-        marked = bool(names & _MARKS) or bool(attributes and _HIDDEN.search(attributes))
+        self.link = False
+        hidden, mark, header = read_attributes(attributes) if attributes and tag not in ("html", "body") else (False, False, False)
         if tag in _SHORT:
-            self.marked = marked and tag not in ("html", "body")
+            self.hidden, self.marked = hidden, mark
             return
-        self.marked = False
-        _, outside, inside, article = self.stack[-1] if self.stack else ("", False, False, 0)
+        self.hidden = self.marked = False
+        _, outside, marked, inside, article = self.stack[-1] if self.stack else ("", False, False, False, 0)
         if tag in INSIDE:
-            if tag == "article" and article and any(t == "article" for t, *_ in self.stack):
+            if tag == "article" and article and self.places.get("article"):
                 outside = True  # an article within an article is a comment on it
             elif not outside:
+                marked = marked and tag == "article"
                 self.articles += 1
                 inside, article = True, self.articles
-            outside = outside or marked
-        else:
-            outside = outside or marked and not (inside and names <= {"header"}) or tag in OUTSIDE and not (tag == "header" and inside)
+        elif tag in OUTSIDE and not (tag == "header" and inside):
+            outside = True
+        outside, marked = outside or hidden, marked or mark and not (header and inside)
         if not attributes.rstrip().endswith("/"):
-            self.stack.append((tag, outside, inside, article))
+            self.places.setdefault(tag, []).append(len(self.stack))
+            self.stack.append((tag, outside, marked, inside, article))
 
     def closed(self, tag: str) -> None:
         if tag == "a":
-            self.links = 0
+            self.link = False
         if tag not in _BLOCKS:
             return
         self.flush()
-        self.marked = False
+        self.hidden = self.marked = False
         if tag in _SHORT:
             return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                del self.stack[at:]
-                return
-            if self.stack[at][0] in INSIDE and tag not in INSIDE and tag not in ("body", "html"):
-                return
+        last = lambda t: (self.places.get(t) or [-1])[-1]
+        if last(tag) < 0 or tag not in INSIDE and last(tag) < max(map(last, INSIDE)):
+            return  # it was never opened, or not within the article that is open
+        keep = last(tag)
+        for t, *_ in self.stack[keep:]:
+            self.places[t].pop()
+        del self.stack[keep:]
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order, undecided."""
     reader, at = _Reader(), 0
-    for m in _TOKEN.finditer(page):
-        reader.text(page[at : m.start()])
-        at = m.end()
-        if m[3]:
-            reader.closed(m[3].lower()) if m[2] else reader.opened(m[3].lower(), m[4])
+    for start, end, tag, attributes, closing in tags(page):
+        reader.text(page[at:start])
+        at = end
+        if tag:
+            reader.closed(tag) if closing else reader.opened(tag, attributes)
     reader.text(page[at:])
     reader.flush()
     return reader.blocks
 
 
+def stop_words(text: str) -> tuple[int, int]:
+    """How many of a text's words are stop words, and how many words it has."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'*#$%&") in STOP_WORDS for w in words), len(words)
+
+
 def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
     """Pass one: sets ``good`` of the blocks that are clear."""
-    total = sum(len(b.text) for b in blocks if not b.outside)
-    held = sum(len(b.text) for b in blocks if b.inside and not b.outside)
+    counted = [(b, *stop_words(b.text)) for b in blocks if not b.outside]
+    total = sum(b.size for b, *_ in counted)
+    held = sum(b.size for b, *_ in counted if b.inside)
     framed = held > 0 and held >= rules.main_share * total
+    known = sum(n for _, n, _ in counted) >= rules.no_stop_words * sum(n for *_, n in counted)
     for b in blocks:
-        size = len(b.text)
         if b.outside or framed and not b.inside:
             b.good = False
+    for b, stops, words in counted:
+        if b.good is False:
             continue
-        words = b.text.lower().split()
-        density = sum(w.strip(".,;:!?()\"'*#$%&") in STOP_WORDS for w in words) / len(words)
-        if b.linked > rules.most_linked * size and not (b.inside and density >= rules.many_stop_words):
+        density = stops / words
+        many, some = density >= rules.many_stop_words, density >= rules.few_stop_words or not known
+        if b.linked > rules.most_linked * b.size and not (b.inside and many):
             b.good = False
-        elif size >= rules.short and density >= rules.few_stop_words and (b.inside or size >= rules.long or density >= rules.many_stop_words):
+        elif b.size >= rules.short and some and (b.inside or b.size >= rules.long or many):
             b.good = True
-        elif not b.inside and size < rules.short and ("©" in b.text or "copyright" in words):
+        elif not b.inside and b.size < rules.short and ("©" in b.text or "copyright" in b.text.lower().split()):
             b.good = False
 
 
@@ -202,15 +300,20 @@ def inherit(blocks: list[Block]) -> None:
         b.good = good
 
 
-def main_text(page: str | None, rules: Rules = Rules()) -> tuple[str, int]:
-    """The main text, blocks joined by newlines, and how many blocks that is."""
-    if not page:
-        return "", 0
-    blocks = blocks_of(page)
+def decided(blocks: list[Block], rules: Rules) -> list[Block]:
+    """The good blocks by both passes."""
     classify(blocks, rules)
     inherit([b for b in blocks if not (b.inside and b.outside)])  # an advert within an article parts nothing
-    kept = [b.text for b in blocks if b.good]
-    return "\n".join(kept), len(kept)
+    return [b for b in blocks if b.good]
+
+
+def main_text(page: str | None, rules: Rules = Rules()) -> tuple[str, int]:
+    """The main text, blocks joined by newlines, and how many blocks that is."""
+    blocks = blocks_of(page) if page else []
+    kept = decided([replace(b, outside=b.outside or b.marked) for b in blocks], rules)
+    if not kept and any(b.marked for b in blocks):
+        kept = decided(blocks, rules)
+    return "\n".join(b.text for b in kept), len(kept)
 
 
 def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -1,7 +1,9 @@
 """Classifiers, HTML text and pieces: held-out accuracy, defined results for awkward input, exact comparisons."""
 
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -109,6 +111,100 @@ def test_html_broken(page):
     assert isinstance(text, str)
 
 
+PROSE = "<p>The first of the paragraphs is about this and that, and it is long enough to be one of them.</p><p>Another of the paragraphs is here and it has all of the words that it needs to have.</p>"
+TEXT = "The first of the paragraphs is about this and that, and it is long enough to be one of them.\nAnother of the paragraphs is here and it has all of the words that it needs to have."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="overflow-hidden">{}</article>',
+        '<div class="overflow-hidden">{}</div>',
+        '<article class="ad-free">{}</article>',
+        '<div class="post-search-engines">{}</div>',
+        '<title>Never closed <article>{}</article>',
+        '<div class="content has-sidebar"><article>{}</article></div>',
+        '<div class="sidebar"><main>{}</main></div>',
+        '<div class="widget">{}</div>',  # nothing else is there
+        '<article><a href="never closed>link</a>{}</article>',
+        '<article><div hidden>no</div><div style="display: none">no</div><div aria-hidden="true">no</div>{}</article>',
+        '<article>{}<article class="x"><p>A comment that is about the article and that is as long as one of them.</p></article></article>',
+        '<div class="ad">Buy the thing that you have wanted to have and that is on offer for you.</div><article>{}</article><aside>{}</aside>',
+        '<article>{}<noscript>Turn it on</noscript><form>Name <input name=n> <button>Go</button></form></article>',
+    ],
+)
+def test_html_marks_are_whole_names(page):
+    assert html_text.main_text(page.replace("{}", PROSE, 1).replace("{}", PROSE))[0] == TEXT
+
+
+def test_html_marks():
+    for value in ("ad", "Sidebar", "comment-list", "cookie_banner", "social-share-buttons", "widget-3", "top-nav"):
+        assert html_text.is_mark(value), value
+    for value in ("overflow-hidden", "ad-free", "post-search-engines", "has-sidebar", "entry-header", "article-header", "shared", "list", ""):
+        assert not html_text.is_mark(value), value
+
+
+def test_html_of_other_languages():
+    first, second = "这是一个关于天气的文章，今天的天气很好。" * 5, "第二段文字也很长，它讲述了城市的历史。" * 5
+    page = f"<nav><a href=x>首页</a><a href=y>新闻</a></nav><div><p>{first}</p><p>{second}</p></div><div><a href=z>{first}</a></div>"
+    assert html_text.main_text(page)[0] == f"{first}\n{second}"
+    assert "x + y" in html_text.main_text(f"<article>{PROSE}<p><math>x + y</math></p><object>kept</object></article>")[0].split("\n")
+
+
+@pytest.mark.parametrize("run", ['<a "x ', '<a b="x ', "<a b='", "<!--", "<script>", "<title>", "<b ", "</", "<!x", "<div>", "&", "<a b=c", '<a ="" ', "</div>", "<section></div>", "<article><section></div></article>", "<i hidden>"])
+def test_html_takes_time_in_proportion(run):
+    began = time.process_time()
+    html_text.main_text("<div><article>" + run * (1_000_000 // len(run)))
+    assert time.process_time() - began < 8
+
+
+class ArticleReader(HTMLParser):
+    """The blocks of article elements, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts, self.blocks = 0, [], []
+
+    def close_block(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "article"):
+            self.close_block()
+        self.depth += tag == "article"
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.close_block()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_html_equals_a_plain_parser(spark):
+    """On pages whose article element holds the whole text; all pages of the table are such."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for row in pages.collect():
+        reader = ArticleReader()
+        reader.feed(row.html or "")
+        reader.close()
+        assert got[row.page_id] == "\n".join(reader.blocks), row.page_id
+
+
+def test_html_of_an_empty_table_and_long_pages(spark):
+    pages = spark.createDataFrame([(1, "u", f"<nav>no</nav><article>{PROSE * 3000}</article>", "extra", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert html_text.extract(pages.limit(0)).count() == 0
+    (row,) = html_text.extract(pages).collect()
+    assert row.text == "\n".join([TEXT] * 3000) and row.n_chars == len(row.text)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<article><p>x y</p></article>"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit(0))
     assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("", 0), ("x y", 3)]
