@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of an action are removed as soon as it ends, not when the driver happens to collect
+    garbage: for operators of many steps that write or collect each step's result. A table used again is made again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of ``uri`` and the path inside it; a bare path is local."""
     if "://" not in uri and not uri.startswith("file:"):

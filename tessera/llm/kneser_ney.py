@@ -170,18 +170,41 @@ def _write(folder: str, name: str, array: np.ndarray) -> None:
 LARGE = 255
 
 
-def _write_counts(folder: str, name: str, key: np.ndarray, counts: np.ndarray) -> None:
-    """Sorted keys with a row of counts each."""
+#: From this many keys on a file has a directory by the keys' leading 16 bits, which takes no more than it saves.
+FILED = 1 << 16
+
+
+def _write_counts(folder: str, name: str, key: np.ndarray, counts: np.ndarray, bits: int = 64) -> None:
+    """Sorted keys of ``bits`` bits with a row of counts each: words have their 64 bits, grams and contexts 48.
+
+    Files of many keys of 48 bits hold a directory of where each value of their leading 16 bits starts, and the other 32."""
     counts = counts.astype(np.int64).reshape(len(key), 1 if counts.ndim == 1 else counts.shape[1])
     many = np.flatnonzero((counts >= LARGE).any(1))
-    _write(folder, f"{name}.key", key.astype(np.uint64))
+    key = key.astype(np.uint64)
+    if bits == 48 and len(key) >= FILED:
+        _write(folder, f"{name}.first", np.searchsorted(key, np.arange(FILED + 1, dtype=np.uint64) << np.uint64(32)).astype(np.uint32))
+        _write(folder, f"{name}.rest", key.astype(np.uint32))
+    else:
+        _write(folder, f"{name}.key", key)
     _write(folder, f"{name}.count", np.minimum(counts, LARGE).astype(np.uint8))
     _write(folder, f"{name}.large", np.concatenate([many, counts[many].ravel()]))
 
 
+def place_of(keys: np.ndarray, first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Where keys of 48 bits stand in a file with a directory, -1 for absent ones: all are halved in on at once."""
+    top, low = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
+    at, end = first[top].astype(np.int64), first[top + 1].astype(np.int64)
+    last = end
+    for _ in range(int((end - at).max(initial=0)).bit_length()):
+        middle = (at + end) >> 1
+        before = (at < end) & (rest[np.minimum(middle, len(rest) - 1)] < low)
+        at, end = np.where(before, middle + 1, at), np.where(before, end, middle)
+    return np.where((at < last) & (rest[np.minimum(at, len(rest) - 1)] == low), at, -1)
+
+
 def chained(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The key of a gram from the key of all but its last word (of one word: its 48 bits) and that word's 48 bits."""
-    return common.mix64(key * _GOLDEN + word)
+    """The key of a gram, 48 bits, from the key of all but its last word (of one word: its 48 bits) and that word's."""
+    return short(common.mix64(key * _GOLDEN + word))
 
 
 def gram_key(columns: list[np.ndarray]) -> np.ndarray:
@@ -304,7 +327,7 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000,
     totals = vocabulary.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     if not totals["tokens"]:
         return Model(folder, 0, bits, order)
-    shards = max(1, min(4096, -(-totals["tokens"] * order // (2 * per_shard))))
+    shards = max(1, -(-totals["tokens"] * order // (2 * per_shard)))
     often = max(1, totals["tokens"] // (8 * shards))
     candidates = vocabulary.select(F.explode(F.arrays_zip("hot", "n")).alias("x")).where(F.col("x.n") > often).select("x.hot").collect()
     begin = short(BEGIN)
@@ -338,10 +361,10 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000,
                 break
             shorter = (columns[0] == begin) & (columns[1] == begin)  # a gram at the start of a text, of fewer words
             real = np.flatnonzero(~shorter)
-            _write_counts(folder, f"grams{k}-{s}", key[real], n[real])
+            _write_counts(folder, f"grams{k}-{s}", key[real], n[real], 48)
             context, *stats = _context_stats(gram_key([c[real] for c in columns[:-1]]), n[real])
             kept = np.flatnonzero((stats[0] > 1) | (stats[1] != 1))
-            _write_counts(folder, f"context{k}-{s}", context[kept], np.stack([c[kept] for c in stats], 1))
+            _write_counts(folder, f"context{k}-{s}", context[kept], np.stack([c[kept] for c in stats], 1), 48)
             rows.append((s % tables, 0, [np.array([-k, *_found(n[real])], np.int64)]))
             columns, n = columns[1:], np.where(shorter, n, 1)
         a, b = columns
@@ -350,7 +373,7 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000,
             rows.append((t, 3, [a[i], b[i], n[i].astype(np.int64)]))
         own = np.flatnonzero(~often)
         a, b, n = a[own], b[own], n[own]
-        _write_counts(folder, f"grams2-{s}", key[own], n)
+        _write_counts(folder, f"grams2-{s}", key[own], n, 48)
         rows.append((s % tables, 0, [np.array([-2, *_found(n)], np.int64)]))
         context, *stats = _context_stats(a, n)
         rows += [(t, 1, [context[i], *(c[i].astype(np.int64) for c in stats)]) for t, i in _by_table(context, bits)]
@@ -374,13 +397,13 @@ def fit(texts: DataFrame, n_texts: int, folder: str, per_shard: int = 4_000_000,
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         n = np.add.reduceat(n[by_key], new) if len(new) else n
         a, b = a[by_key[new]], b[by_key[new]]
-        _write_counts(folder, f"hot-{t}", key[new], n)
+        _write_counts(folder, f"hot-{t}", key[new], n, 48)
         after, times = of(2, np.uint64, np.uint32)
         follow, times = counted(np.concatenate([after, b]), np.concatenate([times.astype(np.int64), np.ones(len(b), np.int64)]))
-        _write_counts(folder, f"follow-{t}", follow, times)
+        _write_counts(folder, f"follow-{t}", follow, times, 48)
         context, *stats = of(1, np.uint64, *[np.int64] * 4)
         by_key = np.argsort(context, kind="stable")
-        _write_counts(folder, f"context-{t}", context[by_key], np.stack([c[by_key] for c in stats], 1))
+        _write_counts(folder, f"context-{t}", context[by_key], np.stack([c[by_key] for c in stats], 1), 48)
         out = [of(0, np.int64)[0].reshape(-1, 6), np.array([[-2, *_found(n)], [-1, *_found(times)[:4], int((times > 2).sum())]], np.int64)]
         word, *stats = _context_stats(a, n)
         out.append(np.stack([word.astype(np.int64), *stats, np.zeros(len(word), np.int64)], 1))
@@ -443,11 +466,15 @@ class Reader:
         for i, j in zip(cut, [*cut[1:], len(order)]):
             rows = order[i:j]
             name = f"{stem}-{parts[rows[0]]}"
-            have = self.array(f"{name}.key", np.uint64)
-            if not len(have):
+            have, rest = self.array(f"{name}.key", np.uint64), self.array(f"{name}.rest", np.uint32)
+            if len(rest):
+                at = place_of(keys[rows], self.array(f"{name}.first", np.uint32), rest)
+                hit = at >= 0
+            elif len(have):
+                at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
+                hit = have[at] == keys[rows]
+            else:
                 continue
-            at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
-            hit = have[at] == keys[rows]
             at = at[hit]
             found = self.array(f"{name}.count", np.uint8).reshape(-1, width)[at].astype(np.int64)
             top = np.flatnonzero((found == LARGE).any(1))
@@ -544,5 +571,6 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, rest: int = 1) -> Dat
 def score_all(docs: DataFrame, modulus: int = 5, rest: int = 1, order: int = 2) -> DataFrame:
     """Learns from the rows that are not held out and scores all rows."""
     training = docs.where(~common.held_out("doc_id", modulus, rest)).select(F.col("text").cast("string").alias("text"))
-    model = fit(training, training.count(), common.shared_folder(docs.sparkSession), order=order)
+    with common.shuffles_dropped(docs.sparkSession):
+        model = fit(training, training.count(), common.shared_folder(docs.sparkSession), order=order)
     return score(docs, model, modulus, rest)

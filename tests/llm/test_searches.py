@@ -260,6 +260,23 @@ def test_grams_as_a_tree(bits):
     assert list(zip(zip(*(c.tolist() for c in columns)), n.tolist())) == sorted(Counter(rows).items())
 
 
+def test_files_with_a_directory(tmp_path):
+    """Keys of 48 bits in a file with a directory are found as in one without; some leading bits have many, most none."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 48, 70_000), rng.integers(5 << 32, 6 << 32, 5_000), [0, (1 << 48) - 1]])).astype(np.uint64)
+    counts = rng.integers(1, 400, (len(keys), 2))
+    folder = f"file://{tmp_path}"
+    kneser_ney._write_counts(folder, "x-0", keys, counts, 48)
+    kneser_ney._write_counts(folder, "x-1", keys[:9000], counts[:9000], 48)
+    assert {f.name for f in tmp_path.iterdir()} == {"x-0.first", "x-0.rest", "x-0.count", "x-0.large", "x-1.key", "x-1.count", "x-1.large"}
+    reader = kneser_ney.Reader(kneser_ney.Model(folder, 2))
+    asked = np.concatenate([keys, rng.integers(0, 1 << 48, 9000).astype(np.uint64), keys + np.uint64(1) & np.uint64((1 << 48) - 1)])
+    known = {int(k): tuple(c) for k, c in zip(keys, counts)}
+    for part, have in ((0, known), (1, {int(k): known[int(k)] for k in keys[:9000]})):
+        got = reader.lookup("x", np.full(len(asked), part), asked, 2)
+        assert [tuple(x) for x in got] == [have.get(int(k), (0, 0)) for k in asked]
+
+
 def test_query_takes_longer_contexts():
     from tessera.llm import queries
 
