@@ -150,6 +150,8 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 
 #: Rows of ids that one task takes on. Tasks of few rows would each leave shuffle files.
 TASK_ROWS = 60_000
+#: Rows that a Python worker is sent at once: pairs with both texts' sets are large where texts are long.
+ROWS_SENT = 256
 #: Rounds of centres end with one in which fewer than one pair in this many was near; the rest is settled whole.
 FUTILE = 50
 
@@ -246,6 +248,14 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
     Up to ``stars`` rounds link each bucket's texts to its centre: in the first round the text that meets most others,
     then one chosen by hash. The texts of buckets that still have several roots are settled by ``meeting``. The table
     of texts that share a bucket has one row for each of them, with their keys and their root as it is known so far."""
+    with common.stepwise(docs.sparkSession, ROWS_SENT):
+        rows = common.checkpointed(_labelled(docs, similarity, stars))
+    sizes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return rows.join(sizes, "root")
+
+
+def _labelled(docs: DataFrame, similarity: float, stars: int) -> DataFrame:
+    """doc_id, node, root."""
     found = common.checkpointed(nodes_of(docs))
     nodes = found.groupBy("node").agg(F.any_value("keys").alias("keys"), F.any_value("size").alias("size"))
     entries = nodes.select("node", "size", F.explode("keys").alias("key"))
@@ -277,10 +287,7 @@ def labelled(docs: DataFrame, similarity: float, stars: int = 3) -> DataFrame:
         if last:
             break
     rows = found.select("doc_id", "node")
-    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if n_links else rows.withColumn("root", F.col("node"))
-    rows = common.checkpointed(rows)
-    sizes = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(sizes, "root")
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if n_links else rows.withColumn("root", F.col("node"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -55,16 +55,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Inside, the shuffle files of an action are removed as soon as it ends, not when the driver happens to collect
-    garbage: for operators of many steps that write or collect each step's result. A table used again is made again."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, "true")
+def stepwise(spark: SparkSession, batch: int = 10_000) -> Iterator[None]:
+    """For operators of many steps that write or collect each step's result: inside, an action's shuffle files go as
+    soon as it ends, not when the driver happens to collect garbage (a table used again is made again), and Python
+    workers are sent ``batch`` rows at once, by which their memory is bounded."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -153,14 +156,26 @@ def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return b, e, np.searchsorted(starts, b, side="right") - 1
 
 
+#: Bytes that are hashed at once, or one word if that is longer.
+SEGMENT = 1 << 22
+
+
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``data``, by prefix sums: the cost is that of the bytes, whatever the spans."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=total[1:])
-    raw = (total[end] - total[begin]) * powers(len(data), inverse=True)[begin]
-    return mix64(raw ^ (end - begin).astype(np.uint64))
+    """A 64-bit hash of each span of ``data``, by prefix sums: the cost is that of the bytes, whatever the spans.
+
+    Spans stand in order and apart; they are gone through in segments, so memory doesn't follow a batch's bytes."""
+    out = np.zeros(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        low = int(begin[i])
+        j = max(i + 1, int(np.searchsorted(end, low + SEGMENT, side="right")))
+        part = data[low : end[j - 1]]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(len(part)), out=total[1:])
+        b, e = begin[i:j] - low, end[i:j] - low
+        out[i:j] = mix64((total[e] - total[b]) * powers(len(part), inverse=True)[b] ^ (e - b).astype(np.uint64))
+        i = j
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -571,6 +571,6 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, rest: int = 1) -> Dat
 def score_all(docs: DataFrame, modulus: int = 5, rest: int = 1, order: int = 2) -> DataFrame:
     """Learns from the rows that are not held out and scores all rows."""
     training = docs.where(~common.held_out("doc_id", modulus, rest)).select(F.col("text").cast("string").alias("text"))
-    with common.shuffles_dropped(docs.sparkSession):
+    with common.stepwise(docs.sparkSession):
         model = fit(training, training.count(), common.shared_folder(docs.sparkSession), order=order)
     return score(docs, model, modulus, rest)
