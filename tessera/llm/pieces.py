@@ -1,18 +1,19 @@
-"""SentencePiece encoding and decoding by a weighted transducer.
-
-The model file is compiled into three machines over characters: a normaliser (white space to the piece mark, a mark
-put before the text), a trie of pieces whose final states emit a piece, and byte fallback (a character without a
-piece becomes its UTF-8 bytes). A machine over pieces is composed with them: for a unigram model it is a single state
-and an arc weighs minus the piece's score; for a BPE model its states are the last piece, and an arc leads on only
-if merging the two pieces' characters in order of rank gives back just these two (else it weighs infinity). In a
-sequence all of whose neighbours pass, merging never crosses a border, so exactly one path has a finite weight: the
-one that merging the whole text gives.
-
-Encoding composes the machines with a text and takes the shortest path in the tropical semiring. No piece crosses
-from other characters into a piece mark, and none holds a newline, so the composition falls apart into chunks there;
-paths of chunks are remembered within a bound.
-
-Defined results: null and empty texts have no ids; texts of any length are encoded whole.
+"""SentencePiece encoding and decoding by weighted transducers.
+
+The model file is compiled into transducers over characters (see ``transducer``): the normaliser, which is the model's
+rewriting rules and a machine that turns white space into piece marks; the pieces, a trie that writes ids, with byte
+fallback for a character that is no piece; and a grammar over pieces. For a unigram model an arc of a piece weighs
+minus its score and any piece may follow any other. For a BPE model the grammar's states are the last piece, and an arc
+leads on with weight zero only if merging the two pieces' characters in order of rank gives back just these two, else
+it weighs infinity: in a sequence all of whose neighbours pass, merging never crosses a border, so exactly one path has
+a finite weight, the one that merging the whole text gives.
+
+Encoding composes the machines with a text and takes the shortest path in the tropical semiring. Where no piece holds
+a newline, or a mark but at its beginning, the composition falls apart into chunks there; paths of chunks are
+remembered within a bound. With other models the text is one chunk.
+
+Defined results: null and empty texts have no ids; texts of any length are encoded whole; repeated rows and rows with
+a null id come out once for each row; further columns are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, transducer
 
 #: Fixed values of the model format: kinds of pieces, kinds of models, the mark for white space.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -61,9 +62,42 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def rules_of(blob: bytes) -> dict[str, str]:
+    """The rewriting rules of a compiled character map: a double array of bytes whose values point to right sides.
+
+    All of the array's states are gone through level by level."""
+    if not blob:
+        return {}
+    (size,) = struct.unpack_from("<I", blob)
+    units, right = np.frombuffer(blob, np.uint32, size // 4, 4).astype(np.int64), blob[4 + size :]
+    offset = (units >> 10) << ((units & 512) >> 6)
+    states, lefts, rules = np.zeros(1, np.int64), [b""], {}
+    signs = np.arange(1, 256)
+    while len(states):
+        after = states[:, None] ^ offset[states][:, None] ^ signs
+        inside = after < len(units)
+        at = np.where(inside, after, 0)
+        hit = inside & ((units[at] & (1 << 31 | 255)) == signs)
+        rows, columns = np.nonzero(hit)
+        lefts = [lefts[r] + bytes([c + 1]) for r, c in zip(rows, columns)]
+        states = at[hit]
+        for left, state in zip(lefts, states):
+            if units[state] >> 8 & 1:
+                begin = int(units[state ^ offset[state]] & 0x7FFFFFFF)
+                rules[left.decode("utf-8", "replace")] = right[begin : right.index(b"\0", begin)].decode("utf-8", "replace")
+    return rules
+
+
+def white_space(squeeze: bool) -> transducer.Subsequential:
+    """Spaces to marks, of each run one or all; a run is written when it ends."""
+    if not squeeze:
+        return transducer.Subsequential([{" ": (0, MARK)}], [(0, "")], [""])
+    return transducer.Subsequential([{" ": (1, "")}, {" ": (1, "")}], [(0, ""), (0, MARK)], ["", MARK])
+
+
 @dataclass
 class Machine:
-    """The compiled model. ``arcs`` maps a piece's text to its id; ``trie`` has the pieces' beginnings as states, -1 for no piece."""
+    """The compiled model."""
 
     texts: list[str]
     scores: list[float]
@@ -71,19 +105,15 @@ class Machine:
     model: int
     prefix: bool
     squeeze: bool
+    rules: dict[str, str] = field(default_factory=dict)
     most_remembered: int = 500_000
-    arcs: dict[str, int] = field(default_factory=dict)
-    trie: dict[str, int] = field(default_factory=dict)
-    bytes_ids: list[int] = field(default_factory=list)
-    unknown: int = 0
-    longest: int = 1
     paths: dict[str, bytes] = field(default_factory=dict)
     older: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[tuple[int, int], bool] = field(default_factory=dict)
 
     @classmethod
     def compile(cls, data: bytes) -> Machine:
-        texts, scores, kinds, model, prefix, squeeze = [], [], [], UNIGRAM, True, True
+        texts, scores, kinds, model, prefix, squeeze, rules = [], [], [], UNIGRAM, True, True, {}
         for number, value in _fields(data):
             if number == 1:
                 piece = dict(_fields(value))
@@ -91,24 +121,36 @@ class Machine:
                 scores.append(struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0)
                 kinds.append(piece.get(3, NORMAL))
             elif number == 2:
-                model = dict(_fields(value)).get(3, UNIGRAM)
+                spec = dict(_fields(value))
+                model = spec.get(3, UNIGRAM)
+                if spec.get(24):
+                    raise ValueError("models that put the mark after a word are not supported")
             elif number == 3:
                 spec = dict(_fields(value))
-                if spec.get(2):
-                    raise ValueError("only models with the identity normaliser are supported")
-                prefix, squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+                if not spec.get(5, 1):
+                    raise ValueError("models that keep spaces as they are are not supported")
+                prefix, squeeze, rules = bool(spec.get(3, 1)), bool(spec.get(4, 1)), rules_of(spec.get(2, b""))
         if model not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
-        out = cls(texts, scores, kinds, model, prefix, squeeze)
-        out.arcs = {t: i for i, (t, k) in enumerate(zip(texts, kinds)) if k in (NORMAL, USER)}
-        out.trie = {t[:n]: out.arcs.get(t[:n], -1) for t in out.arcs for n in range(1, len(t) + 1)}
-        out.longest = max(map(len, out.arcs), default=1)
-        by_byte = {t: i for i, (t, k) in enumerate(zip(texts, kinds)) if k == BYTE}
-        out.bytes_ids = [by_byte[f"<0x{b:02X}>"] for b in range(256)] if len(by_byte) == 256 else []
-        out.unknown = next((i for i, k in enumerate(kinds) if k == UNKNOWN), 0)
-        if any(MARK in t.lstrip(MARK) or "\n" in t for t in out.arcs):
-            raise ValueError("a piece holds a newline, or a mark that is not at its beginning")
-        return out
+        return cls(texts, scores, kinds, model, prefix, squeeze, rules)
+
+    def __post_init__(self) -> None:
+        self.ids = {t: i for i, (t, k) in enumerate(zip(self.texts, self.kinds)) if k in (NORMAL, USER)}
+        by_byte = {t: i for i, (t, k) in enumerate(zip(self.texts, self.kinds)) if k == BYTE}
+        self.bytes_ids = [by_byte[f"<0x{b:02X}>"] for b in range(256)] if len(by_byte) == 256 else []
+        self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
+        normal = [s for s, k in zip(self.scores, self.kinds) if k == NORMAL]
+        least, most = min(normal, default=0.0), max(normal, default=0.0)
+        if self.model == UNIGRAM and most > 0:
+            raise ValueError("scores of a unigram model are logarithms of probabilities")
+        score = lambda i: -0.1 if self.kinds[i] == USER else self.scores[i]  # noqa: E731  the user's pieces go before others
+        weight = lambda score: round(-score * (1 << 32)) if self.model == UNIGRAM else 0
+        self.pieces = transducer.Pieces({t: (i, weight(score(i))) for t, i in self.ids.items()}, self.fallback, weight(least - 10.0))
+        kept = {t: t for t, i in self.ids.items() if self.kinds[i] == USER}
+        self.rewriting = transducer.Rewriting(self.rules | kept)
+        self.white_space = white_space(self.squeeze)
+        apart = not any(MARK in t.lstrip(MARK) or "\n" in t for t in self.ids)
+        self.chunks = _CHUNK.findall if apart else lambda text: [text]
 
     def fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes_ids[b] for b in char.encode()) if self.bytes_ids else (self.unknown,)
@@ -119,7 +161,7 @@ class Machine:
         while len(parts) > 1:
             best = None
             for i in range(len(parts) - 1):
-                found = self.arcs.get(parts[i] + parts[i + 1])
+                found = self.ids.get(parts[i] + parts[i + 1])
                 if found is not None and (best is None or self.scores[found] > best[0]):
                     best = (self.scores[found], i)
             if best is None:
@@ -129,7 +171,7 @@ class Machine:
         return parts
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether piece ``b`` may stand after piece ``a``; -1 is the beginning or a fallback, which nothing merges with."""
+        """Whether piece ``b`` may stand after piece ``a``; below zero is the beginning or a fallback, which nothing merges with."""
         known = self.pairs.get((a, b))
         if known is None:
             left = self.texts[a] if a >= 0 else ""
@@ -139,71 +181,11 @@ class Machine:
             self.pairs[a, b] = known
         return known
 
-    def _arcs_from(self, text: str, at: int) -> list[int]:
-        """Ids of the pieces that begin at a place, longest first."""
-        get, out = self.trie.get, []
-        for end in range(at + 1, min(at + self.longest, len(text)) + 1):
-            if (found := get(text[at:end])) is None:
-                break
-            if found >= 0:
-                out.append(found)
-        out.reverse()
-        return out
-
-    def _bpe_path(self, text: str) -> list[int]:
-        """The one path of finite weight: states (place, last piece), longest arcs first, no state twice."""
-        dead: set[tuple[int, int]] = set()
-        trail: list[tuple[int, int, Iterator[int], tuple[int, ...]]] = []  # place, last piece, arcs left, ids emitted
-        place, last, emitted = 0, -1, ()
-        while True:
-            trail.append((place, last, iter(self._arcs_from(text, place)) if place < len(text) else iter(()), emitted))
-            if place == len(text):
-                return [i for *_, ids in trail for i in ids]
-            while True:
-                place, last, arcs, _ = trail[-1]
-                piece = next(arcs, None)
-                if piece is None:
-                    char = text[place]
-                    if char not in self.arcs and (place, last) not in dead:
-                        dead.add((place, last))
-                        place, last, emitted = place + 1, -1, self.fallback(char)
-                        break
-                    dead.add((place, last))
-                    trail.pop()
-                    if not trail:
-                        raise AssertionError("no path")
-                    continue
-                to = (place + len(self.texts[piece]), piece)
-                if to not in dead and self.follows(last, piece):
-                    place, last, emitted = *to, (piece,)
-                    break
-
-    def _unigram_path(self, text: str) -> list[int]:
-        """Shortest path with weights of minus the score; a fallback weighs more than any piece."""
-        worst = min(self.scores, default=0.0) - 10.0
-        best: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())] + [(float("inf"), 0, ())] * len(text)
-        for at in range(len(text)):
-            weight = best[at][0]
-            for piece in self._arcs_from(text, at):
-                to, w = at + len(self.texts[piece]), weight - self.scores[piece]
-                if w < best[to][0]:
-                    best[to] = (w, at, (piece,))
-            if text[at] not in self.arcs and weight - worst < best[at + 1][0]:
-                best[at + 1] = (weight - worst, at, self.fallback(text[at]))
-        out: list[tuple[int, ...]] = []
-        at = len(text)
-        while at:
-            _, before, ids = best[at]
-            out.append(ids)
-            at = before
-        return [i for ids in reversed(out) for i in ids]
-
     def path(self, chunk: str) -> bytes:
         """Ids of a chunk as 32-bit integers. Chunks met since the last time that the memory was full stay remembered."""
         out = self.older.get(chunk)
         if out is None:
-            normal = chunk.replace(" ", MARK)
-            ids = self._bpe_path(normal) if self.model == BPE else self._unigram_path(normal)
+            ids = transducer.shortest_path(self.white_space.run(chunk), self.pieces, self.follows if self.model == BPE else None)
             out = struct.pack(f"={len(ids)}i", *ids)
         if len(self.paths) >= self.most_remembered:
             self.older, self.paths = self.paths, {}
@@ -212,13 +194,17 @@ class Machine:
         return out
 
     def encode(self, text: str) -> np.ndarray:
+        text = self.rewriting.run(text)
         if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
+            text = text.lstrip(" ").rstrip(f" {MARK}")
         if not text:
             return np.zeros(0, np.int32)
         path = self.path
-        chunks = _CHUNK.findall(f" {text}" if self.prefix else text)
-        return np.frombuffer(b"".join([self.paths.get(c) or path(c) for c in chunks]), np.int32)
+        ids = np.frombuffer(b"".join([self.paths.get(c) or path(c) for c in self.chunks(f" {text}" if self.prefix else text)]), np.int32)
+        if self.bytes_ids:
+            return ids
+        unknown = ids == self.unknown  # a run of unknown characters is one piece
+        return ids[~(unknown & np.concatenate([[False], unknown[:-1]]))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: pieces joined, bytes put together, the mark before the text taken off."""
@@ -236,7 +222,7 @@ class Machine:
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         text = "".join(out)
-        text = text.removeprefix(MARK) if self.prefix else text
+        text = text.lstrip(MARK) if self.squeeze else text.removeprefix(MARK) if self.prefix else text
         return text.replace(MARK, " ")
 
 
