@@ -11,7 +11,8 @@ which are scored in whole numbers of any size; they are expected to be few.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; sums beyond 64 bits
 count as the nearest number of 64 bits, quantised components beyond the largest double as that one; vectors are
-compared with vectors of their own dimension; repeated ids among candidates are rows of their own, repeated query ids one query.
+compared with vectors of their own dimension; rows with a null id take no part; repeated ids among candidates are rows
+of their own but not for the query of that id; repeated query ids are one query, the least vector of that id.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def best_wide_rows(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 256.0, bits: int = 7, digits: int = 5, block_rows: int = 32_768, query_rows: int = 128) -> DataFrame:
+def search(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 256.0, bits: int = 7, digits: int = 5, block_rows: int = 65_536, query_rows: int = 8_192) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of floor(factor * vector), for each id divisible by ``every``."""
     rows = blocks.usable(vectors, "vec_id", "embedding", zero=True)
     # Spark's floor gives 64 bits; doubles from 2**53 on are whole
@@ -208,7 +209,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 256.
     narrow = F.forall("vector", lambda x: F.abs(x) <= LIMIT)
     counts = rows.agg(F.count("*").alias("n"), F.count_if(~narrow).alias("wide")).first()
     plain, n = rows.where(narrow), counts["n"] - counts["wide"]
-    index = common.checkpointed(blocks.packed(plain, block_rows, pack_slices(bits), n))
+    index = common.checkpointed(blocks.packed(plain, blocks.rows_of(n, block_rows), pack_slices(bits), n))
     queries = blocks.queries_of(rows, every)
     packed = common.checkpointed(blocks.packed(queries.where(narrow), query_rows, pack, 0))
     found = blocks.search(index, packed, best_rows(k, digits), k, "long")

@@ -71,6 +71,16 @@ def packed(rows: DataFrame, most: int, pack: Callable[[np.ndarray, np.ndarray],
     return rows.select("id", "vector", "dim").mapInArrow(run, "dim int, block long, n int, payload binary")
 
 
+#: Blocks that a table is cut into at least, so that several tasks have work.
+BLOCKS = 12
+
+
+def rows_of(n_rows: int, most: int) -> int:
+    """Rows of a block. What is shuffled is each block once for each block of the other side, so blocks are as large as
+    memory allows; ``most`` is that bound."""
+    return min(most, max(1024, -(-n_rows // BLOCKS)))
+
+
 def queries_of(rows: DataFrame, every: int) -> DataFrame:
     """The stated set of queries: rows whose id is divisible by ``every``, one for each id."""
     return rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))

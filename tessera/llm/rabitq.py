@@ -7,8 +7,8 @@ come from popcounts of packed bits. The estimate's error has a known scale, and
 the k-th best exact product found so far are reranked by the exact product in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors
-are compared with vectors of their own dimension; repeated ids among candidates are rows of their own, repeated
-query ids one query.
+are compared with vectors of their own dimension; rows with a null id take no part; repeated ids among candidates are
+rows of their own but not for the query of that id; repeated query ids are one query, the least vector of that id.
 """
 
 from __future__ import annotations
@@ -61,20 +61,32 @@ def pack_codes(ids: np.ndarray, matrix: np.ndarray) -> bytes:
     return pack(ids, matrix) + mean.tobytes() + length.tobytes() + own.tobytes() + _packed_bits(signs).tobytes()
 
 
-def estimates(codes: np.ndarray, own: np.ndarray, query: np.ndarray, bits: int) -> tuple[np.ndarray, float]:
-    """Estimated products of the query (already rotated) with each code's unit vector, and the query's quantisation error."""
-    dim = len(query)
-    low = float(query.min())
-    step = (float(query.max()) - low) / ((1 << bits) - 1) or 1.0
-    digits = np.rint((query - low) / step).astype(np.int64)
-    error = float(np.sqrt(((low + step * digits - query) ** 2).sum()))
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    both = np.zeros(len(codes), np.int64)
-    planes = _packed_bits((digits >> np.arange(bits)[:, None] & 1).astype(np.uint8))
+def estimates(codes: np.ndarray, own: np.ndarray, queries: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated products of queries (rows, already rotated) with each code's unit vector, and the queries' quantisation errors."""
+    dim = queries.shape[1]
+    low = queries.min(1)
+    step = (queries.max(1) - low) / ((1 << bits) - 1)
+    step[step == 0] = 1.0
+    digits = np.rint((queries - low[:, None]) / step[:, None]).astype(np.int64)
+    error = np.sqrt(((low[:, None] + step[:, None] * digits - queries) ** 2).sum(1))
+    columns = np.ascontiguousarray(codes.T)
+    ones = np.bitwise_count(codes).sum(1, dtype=np.float32)
+    both = np.zeros((len(queries), len(codes)), np.uint16 if dim << bits < 1 << 16 else np.uint32)
     for b in range(bits):
-        both += np.bitwise_count(codes & planes[b]).sum(1, dtype=np.int64) << b
-    product = (2 * step * both + 2 * low * ones - step * digits.sum() - dim * low) / np.sqrt(dim)
-    return product / np.maximum(own, 1e-9), error
+        plane = _packed_bits((digits >> b & 1).astype(np.uint8))
+        for w, column in enumerate(columns):
+            both += np.multiply(np.bitwise_count(column & plane[:, w : w + 1]), 1 << b, dtype=both.dtype)
+    product = both * (2 * step[:, None]).astype(np.float32)
+    product += (2 * low[:, None]).astype(np.float32) * ones
+    product -= (step * digits.sum(1) + dim * low)[:, None].astype(np.float32)
+    product *= (1 / np.sqrt(dim) / np.maximum(own, 1e-9)).astype(np.float32)
+    return product, error
+
+
+#: Estimates that are held at once: queries times rows.
+AT_ONCE = 1 << 18
+#: So many times k rows of highest estimates are scored first, for a bound.
+FIRST = 5
 
 
 def best_rows(k: int, bits: int, sureness: float):
@@ -90,36 +102,45 @@ def best_rows(k: int, bits: int, sureness: float):
         codes = np.frombuffer(payload, np.uint64, n * -(-dim // 64), at + 8 * dim + 16 * n).reshape(n, -1)
         # the part of a unit vector that its code doesn't tell, by the number of dimensions it is spread over
         unsure = np.sqrt(np.maximum(1 - own**2, 0)) / np.maximum(own, 1e-9) / np.sqrt(max(1, dim - 1))
+        by_size = (sureness * length * unsure).astype(np.float32)
+        by_error = (sureness * length / np.sqrt(dim) / np.maximum(own, 1e-9)).astype(np.float32)
+        # what the order of adding up can change in a product, for each unit of the query's sum of sizes
+        slack = 4 * dim * np.finfo(np.float64).eps * float(np.abs(x).max(initial=0))
         qids, queries = unpack(wanted)
-        turned = queries @ rotation(dim)
-        out_q, out_r, out_s = [], [], []
-        for qid, q, t in zip(qids, queries, turned):
-            size = float(np.sqrt((q * q).sum()))
-            guess, error = estimates(codes, own, t, bits)
-            middle = length * guess + mean @ q
-            margin = sureness * length * (size * unsure + error / np.sqrt(dim) / np.maximum(own, 1e-9))
-            usable = ids != qid
-            upper = np.where(usable, middle + margin, -np.inf)
-            m = min(k, int(usable.sum()))
-            if not m:
-                continue
-            first = np.argpartition(-np.where(usable, middle, -np.inf), m - 1)[:m]
-            kth = (x[first] * q).sum(1).min()
-            found = np.flatnonzero(usable & ~(upper < kth))
-            scores = (x[found] * q).sum(1)
-            top = np.lexsort((ids[found], -scores))[:k]
-            out_q.append(np.full(len(top), qid))
-            out_r.append(ids[found][top])
-            out_s.append(scores[top])
-        return (*(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_q, out_r)), np.concatenate(out_s) if out_s else np.zeros(0))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        each = max(1, AT_ONCE // n)
+        for start in range(0, len(qids), each):
+            asked, names = queries[start : start + each], qids[start : start + each]
+            guess, error = estimates(codes, own, asked @ rotation(dim), bits)
+            guess *= length.astype(np.float32)
+            guess += (asked @ mean)[:, None].astype(np.float32)
+            upper = guess + np.sqrt((asked * asked).sum(1))[:, None].astype(np.float32) * by_size
+            upper += error[:, None].astype(np.float32) * by_error
+            for qid, q, about, most in zip(names, asked, guess, upper):
+                itself = np.flatnonzero(ids == qid)
+                about[itself], most[itself] = -np.inf, -np.inf
+                if n - len(itself) > FIRST * k:  # the k-th of some promising rows is a bound for the k-th of all
+                    first = np.argpartition(-about, FIRST * k - 1)[: FIRST * k]
+                    exact = (x[first] * q).sum(1)
+                    found = np.flatnonzero(~(most < np.partition(exact, -k)[-k]))
+                    found = found[ids[found] != qid]
+                else:
+                    found = np.flatnonzero(ids != qid)
+                if len(found) > FIRST * k:  # sums in any order, then those that may be among the k best in one order for all
+                    rough = x[found] @ q
+                    found = found[~(rough < np.partition(rough, -k)[-k] - slack * np.abs(q).sum())]
+                scores = (x[found] * q).sum(1)
+                top = np.lexsort((ids[found], -scores))[:k]
+                out.append((np.full(len(top), qid), ids[found][top], scores[top]))
+        return tuple(np.concatenate([part[i] for part in out]) if out else np.zeros(0) for i in range(3))
 
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, bits: int = 6, sureness: float = 3.0, block_rows: int = 16_384, query_rows: int = 256) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, bits: int = 4, sureness: float = 2.5, block_rows: int = 32_768, query_rows: int = 8_192) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each id divisible by ``every``."""
     rows = blocks.usable(vectors, "vec_id", "embedding", zero=False)
     n = rows.count()
-    index = common.checkpointed(blocks.packed(rows, block_rows, pack_codes, n))
+    index = common.checkpointed(blocks.packed(rows, blocks.rows_of(n, block_rows), pack_codes, n))
     packed = common.checkpointed(blocks.packed(blocks.queries_of(rows, every), query_rows, pack, 0))
     return blocks.search(index, packed, best_rows(k, bits, sureness), k, "double")
