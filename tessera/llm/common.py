@@ -96,13 +96,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
+#: Bytes of text that a step is given at once, or one text if that is longer.
+MOST_BYTES = 1 << 21
+
+
+def cuts(batch: pa.RecordBatch, rows: int) -> list[int]:
+    """Where a batch is cut: after ``rows`` rows at most, and so that the texts between two cuts have ``MOST_BYTES`` at
+    most or are one."""
+    if batch.schema.get_field_index("text") < 0 or not pa.types.is_string(batch.schema.field("text").type):
+        return [*range(0, batch.num_rows, rows), batch.num_rows]
+    _, starts = text_bytes(batch.column("text"))
+    out = [0]
+    while out[-1] < batch.num_rows:
+        fit = int(np.searchsorted(starts, starts[out[-1]] + MOST_BYTES, side="right")) - 1
+        out.append(min(max(fit, out[-1] + 1), out[-1] + rows, batch.num_rows))
+    return out
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, rows: int = 2048) -> DataFrame:
-    """``mapInArrow`` with batches cut to ``rows`` rows, so that memory follows a batch and not a partition."""
+    """``mapInArrow`` with batches cut by rows and bytes of text, so that memory follows neither partitions nor batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                if (out := step(batch.slice(at, rows))) is not None:
+            at = cuts(batch, rows)
+            for begin, end in zip(at, at[1:]):
+                if (out := step(batch.slice(begin, end - begin))) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)

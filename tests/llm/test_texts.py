@@ -6,6 +6,7 @@ import zlib
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,3 +338,11 @@ def test_pieces_rows(spark):
     assert pieces.encode(docs.limit(0), PIECES).count() == 0 and pieces.decode(out.limit(0), PIECES).count() == 0
     back = {r.doc_id: r.text for r in pieces.decode(out.where("doc_id >= 2"), PIECES).collect()}
     assert all(back[i] == t for i, t in ODD if i and i >= 2)
+
+
+def test_batches_are_cut_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(common, "MOST_BYTES", 10)
+    texts = ["a" * n for n in (3, 7, 1, 25, 0, 0, 5, 5, 1, 11)] + [None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    assert common.cuts(batch, 100) == [0, 2, 3, 4, 8, 9, 10, 11] and common.cuts(batch.slice(3), 2) == [0, 1, 3, 5, 6, 7, 8]
+    assert common.cuts(batch.slice(0, 0), 5) == [0] and common.cuts(pa.RecordBatch.from_pydict({"x": [1, 2, 3]}), 2) == [0, 2, 3]
