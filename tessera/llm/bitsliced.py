@@ -209,8 +209,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, factor: float = 256.
     narrow = F.forall("vector", lambda x: F.abs(x) <= LIMIT)
     counts = rows.agg(F.count("*").alias("n"), F.count_if(~narrow).alias("wide")).first()
     plain, n = rows.where(narrow), counts["n"] - counts["wide"]
-    index = common.checkpointed(blocks.packed(plain, blocks.rows_of(n, block_rows), pack_slices(bits), n))
+    index = common.checkpointed(blocks.packed(plain, blocks.rows_of(n, block_rows, 16_384), pack_slices(bits), n))
     queries = blocks.queries_of(rows, every)
+    query_rows = blocks.rows_of(n // every, query_rows, 512, 3)
     packed = common.checkpointed(blocks.packed(queries.where(narrow), query_rows, pack, 0))
     found = blocks.search(index, packed, best_rows(k, digits), k, "long")
     if not counts["wide"]:

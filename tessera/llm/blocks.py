@@ -71,14 +71,11 @@ def packed(rows: DataFrame, most: int, pack: Callable[[np.ndarray, np.ndarray],
     return rows.select("id", "vector", "dim").mapInArrow(run, "dim int, block long, n int, payload binary")
 
 
-#: Blocks that a table is cut into at least, so that several tasks have work.
-BLOCKS = 12
-
-
-def rows_of(n_rows: int, most: int) -> int:
+def rows_of(n_rows: int, most: int, least: int = 1024, parts: int = 12) -> int:
     """Rows of a block. What is shuffled is each block once for each block of the other side, so blocks are as large as
-    memory allows; ``most`` is that bound."""
-    return min(most, max(1024, -(-n_rows // BLOCKS)))
+    memory allows; ``most`` is that bound. Smaller tables are cut into ``parts``, so that several tasks have work, but
+    not into blocks of fewer than ``least`` rows."""
+    return min(most, max(least, -(-n_rows // parts)))
 
 
 def queries_of(rows: DataFrame, every: int) -> DataFrame:
