@@ -56,6 +56,23 @@ def inner_product(a: Column, b: Column, zero: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, lambda s, v: s + v)
 
 
+#: Operations of folds.
+FOLDS: dict[str, Callable[[Column, Column], Column]] = {
+    "plus": lambda a, b: a + b,
+    "minus": lambda a, b: a - b,
+    "multiplies": lambda a, b: a * b,
+    "divides": lambda a, b: a / b,
+    "power": lambda a, b: F.pow(a, b),
+    "minimum": lambda a, b: F.least(a, b),
+    "maximum": lambda a, b: F.greatest(a, b),
+}
+
+
+def fold(a: Column, op: str, zero: Column) -> Column:
+    """zero op a[0] op a[1] ..., from the left."""
+    return F.aggregate(a, zero, FOLDS[op])
+
+
 def div_ceil(a: Column, b: Column) -> Column:
     """Quotient rounded up, of non-negative integers."""
     return F.call_function("div", a + b - 1, b)

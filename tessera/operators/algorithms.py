@@ -43,9 +43,34 @@ def fill(a: GridArray, value: Column, where: Range = None) -> GridArray:
     return _update(a, where, value)
 
 
+#: The prime modulus and three multipliers of congruential generators.
+MODULUS, MULTIPLIERS = (1 << 31) - 1, (48271, 69621, 16807)
+
+
 def generate(a: GridArray, seed: int, where: Range = None) -> GridArray:
-    """Numbers in [0, 1) that depend on index and seed alone, so every run and partitioning gives the same ones."""
-    return _update(a, where, F.pmod(F.xxhash64(a.gidx(), F.lit(seed)), long(1 << 52)) / float(1 << 52))
+    """Numbers in [0, 1) that depend on index and seed alone, so every run and partitioning gives the same ones: three
+    congruential rounds, the high bits folded onto the low ones between them."""
+    x = F.pmod(a.gidx() + seed, long(MODULUS))
+    for m in MULTIPLIERS:
+        x = F.pmod((x.bitwiseXOR(F.shiftright(x, 13)) + 1) * long(m), long(MODULUS))
+    return _update(a, where, x / float(MODULUS))
+
+
+#: Types of one size and kind, between which values are converted unchanged.
+KINDS = (("tinyint", "byte"), ("smallint", "short"), ("int", "integer"), ("bigint", "long"), ("float", "real"), ("double",))
+
+
+def convertible(source: str, target: str) -> bool:
+    """Whether values are copied between arrays of two types: the same one, or integers or floats of the same size."""
+    return source == target or any(source in k and target in k for k in KINDS)
+
+
+def converted(a: GridArray, kind: str) -> GridArray:
+    """The array with values of another type; a TypeError where the types differ in size or kind."""
+    own = a.df.schema["value"].dataType.simpleString()
+    if not convertible(own, kind):
+        raise TypeError(f"values of {own} are not copied to {kind}; cast them")
+    return a.with_df(a.df.withColumn("value", F.col("value").cast(kind)))
 
 
 def generate_with_index(a: GridArray, f: Callable[[Column], Column], where: Range = None) -> GridArray:
@@ -83,11 +108,13 @@ def accumulate(target: GridArray, updates: DataFrame, op: ReduceOp = PLUS) -> Gr
 
 
 def copy(source: GridArray, target: GridArray, where: Range = None, at: int = 0) -> GridArray:
-    """The cells of a range of ``source`` written to ``target`` from place ``at`` on."""
-    first = where[0] if where else 0
+    """The cells of a range of ``source`` written to ``target`` from place ``at`` on; only the places written to are joined."""
+    first, last = where or (0, source.size)
     moved = _cells(source, where).select((F.col("gidx") + (at - first)).alias("gidx"), F.struct("value").alias("new"))
-    df = target.df.join(moved, "gidx", "left")
-    return target.with_df(df.select("gidx", F.when(F.col("new").isNotNull(), F.col("new.value")).otherwise(F.col("value")).alias("value")))
+    there = (F.col("gidx") >= at) & (F.col("gidx") < at + last - first)
+    written = target.df.where(there).join(moved, "gidx", "left")
+    written = written.select("gidx", F.when(F.col("new").isNotNull(), F.col("new.value")).otherwise(F.col("value")).alias("value"))
+    return target.with_df(target.df.where(~there).select("gidx", "value").unionByName(written))
 
 
 def gather(a: GridArray, wanted: DataFrame) -> DataFrame:
@@ -132,6 +159,12 @@ def any_of(a: GridArray, p: Callable[[Column], Column], where: Range = None) ->
     return _cells(a, where).agg(F.coalesce(F.bool_or(p(F.col("value"))), F.lit(False)).alias("result"))
 
 
+def quantified(a: GridArray, where: Range = None, **tests: Callable[[Column], Column]) -> DataFrame:
+    """One row with the answers to several of ``all_of``, ``any_of`` and ``none_of``, from one pass."""
+    ask = {"all_of": lambda p: F.coalesce(F.bool_and(p), F.lit(True)), "any_of": lambda p: F.coalesce(F.bool_or(p), F.lit(False)), "none_of": lambda p: ~F.coalesce(F.bool_or(p), F.lit(False))}
+    return _cells(a, where).agg(*(ask[name](p(F.col("value"))).alias(name) for name, p in tests.items()))
+
+
 def none_of(a: GridArray, p: Callable[[Column], Column], where: Range = None) -> DataFrame:
     return _cells(a, where).agg((~F.coalesce(F.bool_or(p(F.col("value"))), F.lit(False))).alias("result"))
 

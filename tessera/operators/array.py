@@ -7,7 +7,8 @@ occurs once; a null value is a cell that was not set. Views keep the original in
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ class GridArray:
     df: DataFrame
     pattern: Pattern | IrregularPattern
     origin: GridArray | None = None
+    made: Callable[[GridArray], GridArray] | None = field(default=None, compare=False)  # how a view comes from its origin
 
     @classmethod
     def of(cls, df: DataFrame, index: str, value: str | Column, extent: int, pattern: Pattern | IrregularPattern | None = None) -> GridArray:
@@ -58,6 +60,10 @@ class GridArray:
     def index_names(self) -> list[str]:
         return ["gidx"] if self.ndim == 1 else [f"i{d}" for d in range(self.ndim)]
 
+    def deallocate(self) -> None:
+        """Gives back what Spark holds of the array; it is made again where it is used again."""
+        self.df.unpersist()
+
     def with_df(self, df: DataFrame) -> GridArray:
         return replace(self, df=df)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.plans.patterns import div, long, mod
 
@@ -33,6 +34,18 @@ def allgather(df: DataFrame, each: int, units: int) -> DataFrame:
     return broadcast(gather(df, each), units)
 
 
+def gatherv(df: DataFrame) -> DataFrame:
+    """(unit, lidx, value) to gidx where units have parts of any size: each after those of the units before it."""
+    sizes = df.groupBy("unit").agg(F.count("*").alias("_n"))  # a row for each unit
+    before = F.sum("_n").over(Window.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("unit", F.coalesce(before, F.lit(0)).alias("_start"))
+    return df.join(F.broadcast(starts), "unit").select((F.col("_start") + F.col("lidx")).alias("gidx"), "value")
+
+
+def allgatherv(df: DataFrame, units: int) -> DataFrame:
+    return broadcast(gatherv(df), units)
+
+
 def alltoall(df: DataFrame) -> DataFrame:
     """(unit, slot, value) with unit and slot exchanged."""
     return df.select(F.col("slot").alias("unit"), F.col("unit").alias("slot"), "value")

@@ -9,12 +9,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.reduce_ops import PLUS, ReduceOp
+from tessera.operators.reduce_ops import PLUS, SECOND, ReduceOp
 
 
-def map_unit(key: Column, units: int) -> Column:
-    """The unit of a key where the producer names none."""
-    return F.pmod(F.hash(key), F.lit(units))
+def map_unit(key: Column, units: int, whole: bool = False) -> Column:
+    """The unit of a key where the producer names none: by hash, or by the key itself where keys are whole numbers."""
+    return F.pmod(key if whole else F.hash(key), F.lit(units)).cast("int")
+
+
+def bucket(m: DataFrame, units: int, whole: bool = False) -> DataFrame:
+    """The map with the unit that holds each key."""
+    return m.withColumn("unit", map_unit(F.col("key"), units, whole))
+
+
+def folded_before(updates: DataFrame, op: ReduceOp, key: str = "gidx", order: str = "seq", value: str = "value") -> DataFrame:
+    """The updates with ``_before``: op over the earlier updates of the same key, null where there are none.
+
+    A key's updates are cut into spans of 2**16 numbers of their order; windows run within spans, and over one row for
+    each span, so a key that has most of the rows is spread over tasks."""
+    rows = updates.withColumn("_span", F.shiftright(order, 16))
+    w = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(key, "_span").agg(op.many(F.col(value), F.col(order)).alias("_all"))
+    starts = spans.withColumn("_start", op.many(F.col("_all"), F.col("_span")).over(Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_own", op.many(F.col(value), F.col(order)).over(w)).join(starts.drop("_all"), [key, "_span"])
+    before = F.when(F.col("_own").isNull(), F.col("_start")).when(F.col("_start").isNull(), F.col("_own")).otherwise(op.two(F.col("_start"), F.col("_own")))
+    return rows.select(*updates.columns, before.alias("_before"))
 
 
 def insert_first_wins(batch: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -33,6 +52,24 @@ def insert_flags(batch: DataFrame, existing: DataFrame | None = None) -> DataFra
     return batch.join(first, "key", "left").withColumn("inserted", F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))).drop("_first")
 
 
+def insert_range(batch: DataFrame, first: int, last: int, existing: DataFrame | None = None) -> DataFrame:
+    """The map after inserting the part of a batch whose seq is in [first, last)."""
+    return insert_first_wins(batch.where((F.col("seq") >= first) & (F.col("seq") < last)), existing)
+
+
+def insert_hinted(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """key, mapped of a batch (key, mapped, seq, hint): as ``insert_first_wins``; the hint, a key near which to look,
+    is a matter of speed alone, and a shuffle by key needs none."""
+    return insert_first_wins(batch.drop("hint"), existing)
+
+
+def update_mapped(m: DataFrame, updates: DataFrame, op: ReduceOp = PLUS) -> DataFrame:
+    """key, mapped: the map after op= of all updates (key, value, seq) to its values; keys that are not there stay out."""
+    combined = updates.groupBy("key").agg(op.many(F.col("value"), F.col("seq")).alias("_u"))
+    joined = m.select("key", "mapped").join(combined, "key", "left")
+    return joined.select("key", F.when(F.col("_u").isNull(), F.col("mapped")).otherwise(op.two(F.col("mapped"), F.col("_u"))).alias("mapped"))
+
+
 def lookup(m: DataFrame, keys: DataFrame, default: Column | None = None) -> DataFrame:
     """The keys with ``found`` and ``mapped`` (or the default where a key is absent)."""
     joined = keys.join(m.select("key", F.struct("mapped").alias("_m")), "key", "left")
@@ -56,11 +93,14 @@ def bucket_sizes(m: DataFrame) -> DataFrame:
     return m.groupBy("unit").agg(F.count("*").alias("n"))
 
 
+COUNT = ReduceOp("count", lambda v, g: F.sum(v), lambda a, b: a + b)
+
+
 def push_back(items: DataFrame, more: DataFrame) -> DataFrame:
     """unit, lseq, value: a list with each unit's new values (unit, seq, value) after its old ones."""
-    last = items.groupBy("unit").agg((F.max("lseq") + 1).alias("_next"))
-    rank = F.row_number().over(Window.partitionBy("unit").orderBy("seq")) - 1
-    new = more.withColumn("_r", rank).join(last, "unit", "left").select("unit", (F.coalesce("_next", F.lit(0)) + F.col("_r")).cast("long").alias("lseq"), "value")
+    last = items.groupBy("unit").agg((F.max("lseq") + 1).alias("_next"))  # a row for each unit
+    placed = folded_before(more.withColumn("_one", F.lit(1).cast("long")), COUNT, "unit", "seq", "_one")
+    new = placed.join(last, "unit", "left").select("unit", (F.coalesce("_next", F.lit(0)) + F.coalesce("_before", F.lit(0))).cast("long").alias("lseq"), "value")
     return items.select("unit", F.col("lseq").cast("long").alias("lseq"), "value").unionByName(new)
 
 
@@ -81,19 +121,31 @@ def counter_get(counts: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("value"))
 
 
-def fetch_op(updates: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """The updates (gidx, seq, value) with ``fetched``: the sum in the cell before each."""
-    before = F.sum("value").over(Window.partitionBy("gidx").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    out = updates.withColumn("_before", F.coalesce(before, F.lit(0)))
-    if initial is None:
-        return out.withColumnRenamed("_before", "fetched")
-    start = initial.select("gidx", F.col("value").alias("_start"))
-    return out.join(start, "gidx", "left").withColumn("fetched", F.col("_before") + F.coalesce("_start", F.lit(0))).drop("_before", "_start")
+def fetch_op(updates: DataFrame, initial: DataFrame | None = None, op: ReduceOp = PLUS, start: Column | None = None) -> DataFrame:
+    """The updates (gidx, seq, value) with ``fetched``: what the cell held before each, its initial value (of a table
+    or ``start``, null if neither tells) combined with the earlier updates by op."""
+    out = folded_before(updates, op)
+    first = F.lit(None) if start is None else start
+    if initial is not None:
+        out = out.join(initial.select("gidx", F.col("value").alias("_first")), "gidx", "left")
+        first = F.coalesce("_first", first)
+    before = F.col("_before")
+    return out.withColumn("fetched", F.when(before.isNull(), first).when(first.isNull(), before).otherwise(op.two(first, before))).select(*updates.columns, "fetched")
+
+
+def fetch_add(updates: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    return fetch_op(updates, initial, PLUS, F.lit(0))
+
+
+def fetch_sub(updates: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """As ``fetch_op``, with the values taken off; ``value`` stays as it was."""
+    negative = updates.withColumn("_v", F.col("value")).withColumn("value", -F.col("value"))
+    return fetch_op(negative, initial, PLUS, F.lit(0)).withColumn("value", F.col("_v")).drop("_v")
 
 
 def exchange(updates: DataFrame) -> DataFrame:
     """The updates (gidx, seq, value) with ``fetched``: what the cell held before, null at first."""
-    return updates.withColumn("fetched", F.lag("value").over(Window.partitionBy("gidx").orderBy("seq")))
+    return fetch_op(updates, op=SECOND)
 
 
 def store_last(updates: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 NONE leaves out cells whose stencil leaves the grid, CYCLIC wraps around, CUSTOM takes values from a function of the
 coordinates outside. Where a neighbour is outside in several dimensions, NONE counts before CUSTOM before CYCLIC.
 
-A linear stencil sends each cell's weighted value to its neighbours and adds up what arrives: one shuffle, whatever
-the number of points. Stencils along one dimension need no such shuffle: cells are cut into blocks, the few cells at
-the blocks' ends are copied to the next block, and window functions run within blocks.
+The grid is cut into tiles. Each cell goes to its tile, the cells near a tile's border to the tiles beside it too (its
+halo), in one shuffle whatever the number of points; a tile is then one row, an array of cells in the order of their
+places, in which neighbours stand at fixed distances. Several sweeps take a halo as much wider, and one shuffle.
+Stencils along one dimension do the same with blocks and window functions.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql.window import Window
 from tessera.operators.array import GridArray
 from tessera.operators.reduce_ops import PLUS, ReduceOp
 from tessera.plans.patterns import div, long, mod
+from tessera.plans.teams import div_ceil
 from tessera.session import checkpointed
 
 NONE, CYCLIC, CUSTOM = "NONE", "CYCLIC", "CUSTOM"
@@ -40,9 +42,15 @@ class StencilSpec:
 
     @classmethod
     def full(cls, ndim: int, distance: int = 1) -> StencilSpec:
-        """All neighbours at up to ``distance`` in each dimension."""
+        """The 3**ndim - 1 neighbours at ``distance`` or none in each dimension."""
         return cls(tuple(Point(o) for o in itertools.product((-distance, 0, distance), repeat=ndim) if any(o)))
 
+    @classmethod
+    def within(cls, ndim: int, distance: int) -> StencilSpec:
+        """All neighbours at up to ``distance`` in each dimension."""
+        steps = range(-distance, distance + 1)
+        return cls(tuple(Point(o) for o in itertools.product(steps, repeat=ndim) if any(o)))
+
     def minmax(self, dim: int) -> tuple[int, int]:
         at = [p.offset[dim] for p in self.points]
         return min(0, *at), max(0, *at)
@@ -51,88 +59,155 @@ class StencilSpec:
         return tuple(self.minmax(d) for d in range(len(self.points[0].offset)))
 
 
-def apply(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], centre: float = 1.0, outside: Callable[[list[Column]], Column] | None = None) -> GridArray:
-    """centre * own value + the weighted sum of the neighbours' values.
-
-    Each cell's contributions to its neighbours are exploded and summed by target, with the number of those that
-    arrived: a target that got fewer than the stencil has is next to a NONE border."""
+#: Cells along each side of a tile, by the number of dimensions.
+TILES = {1: 1 << 12, 2: 64, 3: 16}
+
+
+def _places(x: Column, extent: int, size: int, low: int, high: int, cyclic: bool) -> Column:
+    """The tiles that need index ``x`` of a dimension, each with the index as the tile sees it (beyond the grid where it wraps)."""
+    count = div_ceil(extent, size)
+    far = (div_ceil(max(-low, high), size) + 1) * size  # keeps quotients from below zero
+
+    def of(y: Column, here: Column | None) -> Column:
+        first = F.greatest(div(y - high + far, size) - far // size, long(0))
+        last = F.least(div(y - low + far, size) - far // size, long(count - 1))
+        tiles = F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("t"), y.alias("y")))
+        there = first <= last if here is None else here & (first <= last)
+        return F.when(there, tiles).otherwise(F.array().cast("array<struct<t:bigint,y:bigint>>"))
+
+    if not cyclic:
+        return of(x, None)
+    return F.concat(of(x, None), of(x - long(extent), x >= extent + low), of(x + long(extent), x < high))
+
+
+def dealt(a: GridArray, reach: tuple[tuple[int, int], ...], borders: tuple[str, ...], tile: tuple[int, ...]) -> DataFrame:
+    """t0, .. (tile), y0, .. (indices), value: each cell in its own tile and in those whose halo it belongs to."""
+    df = a.df.select(*a.index_names, "value")
+    for d, (n, e, b, size, (low, high)) in enumerate(zip(a.index_names, a.pattern.extents, borders, tile, reach)):
+        places = _places(F.col(n), e, size, low, high, b == CYCLIC)
+        df = df.select("*", F.explode(places).alias("_p")).select(*df.columns, F.col("_p.t").alias(f"t{d}"), F.col("_p.y").alias(f"y{d}")).drop(n)
+    return df
+
+
+def tiled(a: GridArray, reach: tuple[tuple[int, int], ...], borders: tuple[str, ...], tile: tuple[int, ...] | None = None) -> tuple[DataFrame, tuple[int, ...]]:
+    """(t0, .., cells, low0, high0, ..) and the tiles' sizes: a row for each tile with its cells and halo in order of
+    their indices, and the bounds of these."""
+    tile = tile or (TILES.get(a.ndim, 8),) * a.ndim
+    dims = range(a.ndim)
+    cells = F.sort_array(F.collect_list(F.struct(*(F.col(f"y{d}") for d in dims), "value"))).alias("cells")
+    df = dealt(a, reach, borders, tile).groupBy(*(f"t{d}" for d in dims)).agg(cells)
+    for d, (e, b, size, (low, high)) in enumerate(zip(a.pattern.extents, borders, tile, reach)):
+        t = F.col(f"t{d}")
+        begin, end = t * size + low, F.least(t * size + size, long(e)) + high
+        df = df.withColumn(f"low{d}", begin if b == CYCLIC else F.greatest(begin, long(0))).withColumn(f"high{d}", end if b == CYCLIC else F.least(end, long(e)))
+    return df, tile
+
+
+def _near(cells: Column, cell: Column, at: Column, offset: tuple[int, ...]) -> Column:
+    """The value at an offset from a cell of a tile, null outside. Tiles with holes are searched."""
+    dims = range(len(offset))
+    inside, jump, whole = F.lit(True), long(0), long(1)
+    for d in dims:
+        y = cell[f"y{d}"] + offset[d]
+        width = F.col(f"high{d}") - F.col(f"low{d}")
+        inside = inside & (y >= F.col(f"low{d}")) & (y < F.col(f"high{d}"))
+        jump = jump * width + offset[d]
+        whole = whole * width
+
+    def there(c: Column) -> Column:
+        same = F.lit(True)
+        for d in dims:
+            same = same & (c[f"y{d}"] == cell[f"y{d}"] + offset[d])
+        return same
+
+    dense = F.get(cells, (at + jump).cast("int"))["value"]
+    return F.when(inside, F.when(F.size(cells) == whole, dense).otherwise(F.get(F.filter(cells, there), F.lit(0))["value"]))
+
+
+def _home(cell: Column, tile: tuple[int, ...], extents: tuple[int, ...]) -> Column:
+    out = F.lit(True)
+    for d, (size, e) in enumerate(zip(tile, extents)):
+        y, t = cell[f"y{d}"], F.col(f"t{d}")
+        out = out & (y >= t * size) & (y < F.least(t * size + size, long(e)))
+    return out
+
+
+def neighbours(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], outside: Callable[[list[Column]], Column] | None = None, tile: tuple[int, ...] | None = None) -> DataFrame:
+    """The indices, value and n0, n1, ...: the neighbours' values; beyond CUSTOM borders those of ``outside`` (a
+    function of the coordinates), null beyond NONE borders."""
     names, extents = a.index_names, a.pattern.extents
-    moves = [Point((0,) * a.ndim, centre), *spec.points]
-    targets = []
-    for p in moves:  # the cell at x contributes to the target x - offset
-        at = [c - long(o) for c, o in zip(a.coords, p.offset)]
-        at = [mod(x, e) if b == CYCLIC else x for x, e, b in zip(at, extents, borders)]
-        targets.append(F.struct(*(x.alias(n) for x, n in zip(at, names)), (F.col("value") * F.lit(float(p.weight))).alias("part")))
-    parts = a.df.select(F.explode(F.array(*targets)).alias("t")).select("t.*")
-    for n, e, b in zip(names, extents, borders):
-        if b != CYCLIC:
-            parts = parts.where((F.col(n) >= 0) & (F.col(n) < e))
-    if CUSTOM in borders and outside is not None:
-        parts = parts.unionByName(_from_outside(a, spec, borders, outside))
-    summed = parts.groupBy(*names).agg(F.sum("part").alias("value"), F.count("part").alias("_n"))
-    return a.with_df(summed.where(F.col("_n") == len(moves)).select(*names, "value"))
-
-
-def _from_outside(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], outside: Callable[[list[Column]], Column]) -> DataFrame:
-    """Contributions of cells beyond CUSTOM borders; only cells near such a border are looked at."""
-    names, extents = a.index_names, a.pattern.extents
-    options = []
-    for p in spec.points:
-        at = [c + long(o) for c, o in zip(a.coords, p.offset)]
-        out = [(x < 0) | (x >= e) for x, e in zip(at, extents)]
-        beyond = F.lit(False)
-        for o, b in zip(out, borders):
-            beyond = beyond | o if b == CUSTOM else beyond & ~o if b == NONE else beyond
-        for o, b in zip(out, borders):
-            if b == NONE:
-                beyond = beyond & ~o
+    df, tile = tiled(a, spec.total(), borders, tile)
+    cells = F.col("cells")
+
+    def one(cell: Column, at: Column) -> Column:
+        values = [_near(cells, cell, at, p.offset).alias(f"n{k}") for k, p in enumerate(spec.points)]
+        return F.when(_home(cell, tile, extents), F.struct(*(cell[f"y{d}"].alias(n) for d, n in enumerate(names)), cell["value"].alias("value"), *values))
+
+    out = df.select(F.inline(F.filter(F.transform(cells, one), lambda c: c.isNotNull())))
+    if CUSTOM not in borders or outside is None:
+        return out
+    filled = []
+    for k, p in enumerate(spec.points):
+        at = [F.col(n) + o for n, o in zip(names, p.offset)]
+        beyond = [(x < 0) | (x >= e) for x, e in zip(at, extents)]
+        custom, none = F.lit(False), F.lit(False)
+        for x, b in zip(beyond, borders):
+            custom, none = (custom | x if b == CUSTOM else custom), (none | x if b == NONE else none)
         wrapped = [mod(x, e) if b == CYCLIC else x for x, e, b in zip(at, extents, borders)]
-        options.append(F.when(beyond, F.struct(*(F.col(n) for n in names), (outside(wrapped) * F.lit(float(p.weight))).cast("double").alias("part"))))
-    near = F.lit(False)
-    for d, (n, e, b) in enumerate(zip(names, extents, borders)):
-        if b == CUSTOM:
-            low, high = spec.minmax(d)
-            near = near | (F.col(n) < -low) | (F.col(n) >= e - high)
-    return a.df.where(near).select(F.explode(F.filter(F.array(*options), lambda t: t.isNotNull())).alias("t")).select("t.*")
+        filled.append(F.when(custom & ~none, outside(wrapped)).otherwise(F.col(f"n{k}")).alias(f"n{k}"))
+    return out.select(*names, "value", *filled)
 
 
-def neighbours(a: GridArray, spec: StencilSpec, borders: tuple[str, ...]) -> DataFrame:
-    """The indices, value and n0, n1, ...: the neighbours' values, null outside the grid. For stencils that are no sums."""
-    names, extents = a.index_names, a.pattern.extents
-    targets = []
-    for k, p in enumerate([Point((0,) * a.ndim), *spec.points]):
-        at = [c - long(o) for c, o in zip(a.coords, p.offset)]
-        at = [mod(x, e) if b == CYCLIC else x for x, e, b in zip(at, extents, borders)]
-        targets.append(F.struct(*(x.alias(n) for x, n in zip(at, names)), F.lit(k).alias("k"), F.col("value").alias("v")))
-    parts = a.df.select(F.explode(F.array(*targets)).alias("t")).select("t.*")
-    for n, e, b in zip(names, extents, borders):
-        if b != CYCLIC:
-            parts = parts.where((F.col(n) >= 0) & (F.col(n) < e))
-    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
-    return parts.groupBy(*names).agg(pick(0).alias("value"), *(pick(k + 1).alias(f"n{k}") for k in range(len(spec.points))))
-
-
-def folded(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], op: ReduceOp = PLUS, centre: float = 1.0) -> GridArray:
+def folded(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], op: ReduceOp = PLUS, centre: float = 1.0, outside: Callable[[list[Column]], Column] | None = None) -> GridArray:
     """The own value times ``centre`` combined by ``op`` with the weighted neighbours; cells without all of them go."""
-    df = neighbours(a, spec, borders)
-    out, whole = F.col("value") * F.lit(centre), F.lit(True)
+    df = neighbours(a, spec, borders, outside)
+    out, whole = F.col("value") * F.lit(centre), F.col("value").isNotNull()
     for k, p in enumerate(spec.points):
-        out, whole = op.two(out, F.col(f"n{k}") * F.lit(p.weight)), whole & F.col(f"n{k}").isNotNull()
+        out, whole = op.two(out, F.col(f"n{k}") * F.lit(float(p.weight))), whole & F.col(f"n{k}").isNotNull()
     return a.with_df(df.where(whole).select(*a.index_names, out.alias("value")))
 
 
-def scattered(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], value: Column, centre: float = 1.0) -> GridArray:
-    """Each cell's ``value`` times the weights added to its neighbours (and ``centre`` times to itself)."""
+def apply(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], centre: float = 1.0, outside: Callable[[list[Column]], Column] | None = None) -> GridArray:
+    """centre * own value + the weighted sum of the neighbours' values; cells next to a NONE border go."""
+    return folded(a, spec, borders, PLUS, centre, outside)
+
+
+def mapped(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], f: Callable[[Column, list[Column]], Column], outside: Callable[[list[Column]], Column] | None = None) -> GridArray:
+    """f(own value, neighbours' values) for all cells; neighbours that are missing are null."""
+    df = neighbours(a, spec, borders, outside)
+    return a.with_df(df.select(*a.index_names, f(F.col("value"), [F.col(f"n{k}") for k in range(len(spec.points))]).alias("value")))
+
+
+def sweeps(a: GridArray, spec: StencilSpec, steps: int, centre: float, tile: tuple[int, ...] | None = None) -> GridArray:
+    """``steps`` times the weighted sum on a torus, after one shuffle: the halo is as wide as all steps reach, and the
+    cells of it that a step can't know are null from there on."""
     names, extents = a.index_names, a.pattern.extents
-    targets = []
-    for p in [Point((0,) * a.ndim, centre), *spec.points]:
-        at = [c + long(o) for c, o in zip(a.coords, p.offset)]
-        at = [mod(x, e) if b == CYCLIC else x for x, e, b in zip(at, extents, borders)]
-        targets.append(F.struct(*(x.alias(n) for x, n in zip(at, names)), (value * F.lit(float(p.weight))).alias("part")))
-    parts = a.df.select(F.explode(F.array(*targets)).alias("t")).select("t.*")
-    for n, e in zip(names, extents):
-        parts = parts.where((F.col(n) >= 0) & (F.col(n) < e))
-    return a.with_df(parts.groupBy(*names).agg(F.sum("part").alias("value")))
+    reach = tuple((low * steps, high * steps) for low, high in spec.total())
+    df, tile = tiled(a, reach, (CYCLIC,) * a.ndim, tile)
+    for _ in range(steps):
+
+        def one(cell: Column, at: Column) -> Column:
+            out = cell["value"] * F.lit(float(centre))
+            for p in spec.points:
+                out = out + _near(F.col("cells"), cell, at, p.offset) * F.lit(float(p.weight))
+            return F.struct(*(cell[f"y{d}"].alias(f"y{d}") for d in range(a.ndim)), out.alias("value"))
+
+        df = df.withColumn("cells", F.transform("cells", one))
+    own = F.filter("cells", lambda c: _home(c, tile, extents))
+    return a.with_df(df.select(F.inline(own)).select(*(F.col(f"y{d}").alias(n) for d, n in enumerate(names)), "value"))
+
+
+def scattered(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], value: Column, centre: float = 1.0, op: ReduceOp | None = PLUS) -> GridArray:
+    """What cells hold after each has sent its ``value`` times the weights to its neighbours, and times ``centre`` to
+    itself: what arrives, its own first and the others in order of the stencil, combined by ``op``. Without ``op`` the
+    last that arrives replaces the others. What leaves the grid is lost."""
+    back = StencilSpec(tuple(Point(tuple(-o for o in p.offset), p.weight) for p in spec.points))
+    df = neighbours(a.with_df(a.df.withColumn("value", value)), back, borders)
+    out = F.col("value") * F.lit(float(centre))
+    for k, p in enumerate(spec.points):
+        arrived = F.col(f"n{k}") * F.lit(float(p.weight))
+        out = F.coalesce(arrived, out) if op is None else F.coalesce(op.two(out, arrived), out, arrived)
+    return a.with_df(df.select(*a.index_names, out.alias("value")))
 
 
 def scope(a: GridArray, spec: StencilSpec) -> DataFrame:
@@ -173,20 +248,24 @@ def jacobi_1d(a: GridArray, steps: int, weights: tuple[float, float, float] = (0
 
 
 def heat(a: GridArray, steps: int, k: float = 1.0, dt: float = 0.1, dx: float = 1.0, dy: float = 1.0, every: int = 4) -> GridArray:
-    """Explicit steps of the heat equation on a torus. Written out every few steps."""
+    """Explicit steps of the heat equation on a torus; ``every`` steps share a shuffle and are written out."""
     x, y = k * dt / dx**2, k * dt / dy**2
     spec = StencilSpec((Point((-1, 0), x), Point((1, 0), x), Point((0, -1), y), Point((0, 1), y)))
-    for step in range(1, steps + 1):
-        a = apply(a, spec, (CYCLIC, CYCLIC), 1 - 2 * x - 2 * y)
-        a = a.with_df(checkpointed(a.df)) if step % every == 0 and step < steps else a
+    while steps > 0:
+        a = sweeps(a, spec, min(every, steps), 1 - 2 * x - 2 * y)
+        steps -= every
+        a = a.with_df(checkpointed(a.df)) if steps > 0 else a
     return a
 
 
 def blur(a: GridArray, centre: float = 0.40, side: float = 0.15) -> GridArray:
     """A weighted mean of a cell and its four neighbours; cells at the border keep their values."""
     spec = StencilSpec(tuple(Point(o, side) for o in ((-1, 0), (1, 0), (0, -1), (0, 1))))
-    df = neighbours(a, spec, (NONE, NONE))
-    total, whole = F.col("value") * F.lit(centre), F.lit(True)
-    for n in range(4):
-        total, whole = total + F.col(f"n{n}") * F.lit(side), whole & F.col(f"n{n}").isNotNull()
-    return a.with_df(df.select(*a.index_names, F.when(whole, total).otherwise(F.col("value")).alias("value")))
+
+    def mean(own: Column, others: list[Column]) -> Column:
+        total = own * F.lit(centre)
+        for other in others:
+            total = total + other * F.lit(side)
+        return F.coalesce(total, own)
+
+    return mapped(a, spec, (NONE, NONE), mean)

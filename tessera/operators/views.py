@@ -5,7 +5,8 @@ at zero. `origin` leads back to the array."""
 
 from __future__ import annotations
 
-from dataclasses import replace
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,38 @@ def sub(a: GridArray, begin: int, end: int, dim: int = 0) -> GridArray:
     else:
         name = f"i{dim}"
         df = _with_gidx(a).where((F.col(name) >= begin) & (F.col(name) < end)).withColumn(name, F.col(name) - begin)
-    return GridArray(df, Pattern.of(extents, order=a.pattern.order), a)
+    return GridArray(df, Pattern.of(extents, order=a.pattern.order), a, lambda x: sub(x, begin, end, dim))
+
+
+@dataclass(frozen=True)
+class ViewSpec:
+    """Offsets and extents of a rectangle of cells."""
+
+    offsets: tuple[int, ...]
+    extents: tuple[int, ...]
+
+    @classmethod
+    def of(cls, extents: tuple[int, ...]) -> ViewSpec:
+        return cls((0,) * len(extents), tuple(extents))
+
+    @property
+    def size(self) -> int:
+        return math.prod(self.extents)
+
+    def resize(self, dim: int, extent: int) -> ViewSpec:
+        """As many cells of a dimension from the same offset on."""
+        return replace(self, extents=(*self.extents[:dim], extent, *self.extents[dim + 1 :]))
+
+    def slice(self, dim: int, offset: int, extent: int) -> ViewSpec:
+        """A part of a dimension, counted from the rectangle's own offset."""
+        offset, extent = min(offset, self.extents[dim]), max(0, min(extent, self.extents[dim] - offset))
+        moved = (*self.offsets[:dim], self.offsets[dim] + offset, *self.offsets[dim + 1 :])
+        return ViewSpec(moved, self.extents).resize(dim, extent)
+
+    def view(self, a: GridArray) -> GridArray:
+        for d, (o, e) in enumerate(zip(self.offsets, self.extents)):
+            a = sub(a, o, o + e, d)
+        return a
 
 
 def section(a: GridArray, dim: int, at: int) -> GridArray:
@@ -38,7 +70,7 @@ def section(a: GridArray, dim: int, at: int) -> GridArray:
     kept = [d for d in range(a.ndim) if d != dim]
     names = ["vidx"] if len(kept) == 1 else [f"i{k}" for k in range(len(kept))]
     out = df.select(*(F.col(f"i{d}").alias(n) for d, n in zip(kept, names)), "gidx", "value")
-    return GridArray(out, Pattern.of([a.pattern.extents[d] for d in kept]), a)
+    return GridArray(out, Pattern.of([a.pattern.extents[d] for d in kept]), a, lambda x: section(x, dim, at))
 
 
 def row(a: GridArray, n: int) -> GridArray:
@@ -86,6 +118,13 @@ def domain(a: GridArray) -> GridArray:
     return a.origin or a
 
 
+def apply(view: GridArray, a: GridArray) -> GridArray:
+    """The view's steps, from its origin on, taken on another array."""
+    if view.origin is None or view.made is None:
+        return a
+    return view.made(apply(view.origin, a))
+
+
 def intersect(a: GridArray, b: GridArray) -> GridArray:
     """The cells of ``a`` whose index ``b`` has too."""
     return replace(a, df=_with_gidx(a).join(index(b), "gidx", "left_semi"))
@@ -103,9 +142,17 @@ def union(*views: GridArray) -> DataFrame:
     return out.groupBy("gidx").agg(F.any_value("value").alias("value"))
 
 
+def combine(*views: GridArray) -> DataFrame:
+    """gidx and value of the views' cells one after another, a cell as often as views have it."""
+    out = _with_gidx(views[0]).select("gidx", "value")
+    for v in views[1:]:
+        out = out.unionByName(_with_gidx(v).select("gidx", "value"))
+    return out
+
+
 def strided(a: GridArray, stride: int, first: int = 0) -> GridArray:
     g = a.gidx()
-    return replace(a, df=a.df.where((g >= first) & (F.pmod(g - first, long(stride)) == 0)), origin=a)
+    return replace(a, df=a.df.where((g >= first) & (F.pmod(g - first, long(stride)) == 0)), origin=a, made=lambda x: strided(x, stride, first))
 
 
 def of_team(a: GridArray, members: tuple[int, ...]) -> DataFrame:

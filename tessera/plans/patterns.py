@@ -10,7 +10,7 @@ import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.teams import TeamSpec, balance_extents, div_ceil
@@ -201,37 +201,66 @@ class TilePattern(Pattern):
 
 @dataclass(frozen=True)
 class SeqTilePattern(TilePattern):
-    """Tiles are dealt in their linear order."""
+    """Tiles are dealt in their linear order: the unit is a weighted sum of the tile's coordinates modulo the number of
+    units, and a unit's tiles lie in linear order."""
+
+    @property
+    def steps(self) -> tuple[int, ...]:
+        """By how many units the owner moves on with each coordinate of a tile."""
+        out = [1]
+        for n in reversed(self.block_counts[1:]):
+            out.append(out[-1] * n)
+        return tuple(reversed(out))
 
     def unit_at(self, coords: list[Column]) -> Column:
-        return mod(self.block_at(coords), self.units).cast("int")
+        total = long(0)
+        for b, step in zip(self.block_coords(coords), self.steps):
+            total = total + b * step
+        return mod(total, self.units).cast("int")
+
+    def _dealt(self, weights: list[list[int]]) -> list[list[int]]:
+        """For each dimension d and past the last one: by remainder r, the sum over tiles of the dimensions from d on,
+        each coordinate weighted, whose owners are r units before unit 0."""
+        u = self.units
+        out = [[int(r == 0) for r in range(u)]]
+        for own, step in zip(reversed(weights), reversed(self.steps)):
+            moved: dict[int, int] = {}  # weight by how far the coordinate moves the owner
+            for j, w in enumerate(own):
+                moved[j * step % u] = moved.get(j * step % u, 0) + w
+            out.append([sum(w * out[-1][(r + m) % u] for m, w in moved.items()) for r in range(u)])
+        return out[::-1]
 
     def local_index(self, coords: list[Column]) -> Column:
+        """Behind all tiles of the unit that come before the cell's: those are counted dimension by dimension, from the
+        tiles of one period of owners."""
+        u = self.units
+        counts = self._dealt([[1] * n for n in self.block_counts])
+        owner, before, gone = self.unit_at(coords).cast("long"), long(0), long(0)
+        for b, n, step, per in zip(self.block_coords(coords), self.block_counts, self.steps, counts[1:]):
+            # sums[r][m]: tiles behind the first m coordinates of this dimension, from remainder r on, for one period
+            period = min(u, n)
+            start = mod(gone - owner, u)
+            table = [sum(per[(r + j * step) % u] for j in range(m)) for r in range(u) for m in range(period + 1)]
+            whole = [sum(per[(r + j * step) % u] for j in range(u)) for r in range(u)] if n > u else [0] * u
+            sums, wholes = F.array(*map(long, table)), F.array(*map(long, whole))
+            before = before + div(b, u) * F.get(wholes, start.cast("int")) + F.get(sums, (start * (period + 1) + mod(b, u)).cast("int"))
+            gone = gone + b * step
         phase = linear([mod(c, b) for c, b in zip(coords, self.block_sizes)], list(self.block_sizes), self.order)
-        return div(self.block_at(coords), self.units) * long(math.prod(self.block_sizes)) + phase
+        return before * long(math.prod(self.block_sizes)) + phase
 
     def local_size(self, unit: int) -> int:
-        raise NotImplementedError("count the rows of the unit: edge tiles are smaller")
+        """The unit's cells; tiles at the far ends may be smaller."""
+        sides = [[min(b, e - j * b) for j in range(n)] for e, b, n in zip(self.extents, self.block_sizes, self.block_counts)]
+        return self._dealt(sides)[0][-unit % self.units]
 
 
 @dataclass(frozen=True)
-class ShiftTilePattern(TilePattern):
+class ShiftTilePattern(SeqTilePattern):
     """Tiles are dealt along diagonals: the unit is the sum of the tile's coordinates, modulo the number of units."""
 
-    def unit_at(self, coords: list[Column]) -> Column:
-        total = self.block_coords(coords)[0]
-        for b in self.block_coords(coords)[1:]:
-            total = total + b
-        return mod(total, self.units).cast("int")
-
-    def local_index(self, coords: list[Column]) -> Column:
-        """Whole where the last dimension's tiles are a multiple of the units: then each row of tiles gives a unit as many."""
-        if self.block_counts[-1] % self.units:
-            raise NotImplementedError("the last dimension's number of tiles must be a multiple of the number of units")
-        phase = linear([mod(c, b) for c, b in zip(coords, self.block_sizes)], list(self.block_sizes), self.order)
-        return div(self.block_at(coords), self.units) * long(math.prod(self.block_sizes)) + phase
-
-    local_size = SeqTilePattern.local_size
+    @property
+    def steps(self) -> tuple[int, ...]:
+        return (1,) * len(self.extents)
 
 
 @dataclass(frozen=True)
@@ -308,6 +337,20 @@ def from_json(text: str) -> Pattern | IrregularPattern:
     return kind(tuple(spec["extents"]), tuple(Distribution(k, s) for k, s in spec["dists"]), TeamSpec(tuple(spec["team"])), spec["order"])
 
 
+def iterate(spark: SparkSession, pattern: Pattern | IrregularPattern) -> DataFrame:
+    """gidx, i0, .., unit, block, lidx: all places of a pattern."""
+    places = spark.range(pattern.size).withColumnRenamed("id", "gidx")
+    at = pattern.coords(F.col("gidx"))
+    named = [c.alias(f"i{d}") for d, c in enumerate(at)]
+    return places.select("gidx", *named, pattern.unit_at(at).alias("unit"), pattern.block_at(at).cast("long").alias("block"), pattern.local_index(at).cast("long").alias("lidx"))
+
+
+def unit_map(spark: SparkSession, pattern: Pattern) -> DataFrame:
+    """line, text: for each row of a pattern of two dimensions the units of its cells, parted by blanks."""
+    cells = iterate(spark, pattern).groupBy("i0").agg(F.array_sort(F.collect_list(F.struct("i1", "unit"))).alias("row"))
+    return cells.select(F.col("i0").alias("line"), F.array_join(F.transform("row", lambda c: c["unit"].cast("string")), " ").alias("text"))
+
+
 def make_pattern(extents, units: int, wanted: set[str] = frozenset(), tile: tuple[int, ...] | None = None):
     """A pattern with the wanted properties: tiles where elements of a block shall lie together or neighbours shall
     be on other units, else contiguous blocks of the first dimension."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 
@@ -74,6 +75,7 @@ class Team:
     members: tuple[int, ...]
     position: int = 0
     parent: Team | None = field(default=None, compare=False)
+    parts: int = field(default=0, compare=False)  # as how many its parent was split
 
     @classmethod
     def all(cls, size: int) -> Team:
@@ -89,7 +91,18 @@ class Team:
     def split(self, parts: int) -> list[Team]:
         """Contiguous groups of the size that would do for all; the last ones may be short or empty."""
         each = div_ceil(self.size, parts)
-        return [Team(self.members[i * each : (i + 1) * each], i, self) for i in range(parts)]
+        return [Team(self.members[i * each : (i + 1) * each], i, self, parts) for i in range(parts)]
+
+    def siblings(self) -> list[Team]:
+        """The teams that its parent was split into, itself included; none of a team that was not split off."""
+        return self.parent.split(self.parts) if self.parent else []
+
+    def sibling(self, position: int) -> Team:
+        return self.siblings()[position]
+
+    def path(self) -> tuple[int, ...]:
+        """Positions from the first team down to this one."""
+        return (*self.parent.path(), self.position) if self.parent else ()
 
     def union(self, other: Team) -> Team:
         return Team(tuple(sorted({*self.members, *other.members})))
@@ -102,3 +115,60 @@ class Team:
 
     def remove(self, unit: int) -> Team:
         return Team(tuple(m for m in self.members if m != unit))
+
+
+@dataclass(frozen=True)
+class Domain:
+    """A tree of units by where they are: a domain has a name, a scope (such as node or module), units and parts."""
+
+    name: str
+    scope: str
+    units: tuple[int, ...] = ()
+    parts: tuple[Domain, ...] = ()
+
+    def all_units(self) -> tuple[int, ...]:
+        return tuple(sorted({*self.units, *(u for p in self.parts for u in p.all_units())}))
+
+    def walk(self) -> Iterator[Domain]:
+        yield self
+        for p in self.parts:
+            yield from p.walk()
+
+    def find(self, name: str) -> Domain:
+        for d in self.walk():
+            if d.name == name:
+                return d
+        raise KeyError(name)
+
+    def scoped(self, scope: str) -> list[Domain]:
+        """The domains of a scope, in order."""
+        return [d for d in self.walk() if d.scope == scope]
+
+    def _pruned(self, keep: Callable[[Domain], bool | None]) -> Domain | None:
+        verdict = keep(self)
+        if verdict is not None:
+            return self if verdict else None
+        parts = tuple(p for p in (part._pruned(keep) for part in self.parts) if p)
+        return replace(self, parts=parts) if parts or self.units else None
+
+    def select(self, names: set[str]) -> Domain | None:
+        """The tree without what is neither in nor above one of the named domains."""
+        return self._pruned(lambda d: True if d.name in names else None if d.parts else False)
+
+    def exclude(self, names: set[str]) -> Domain | None:
+        return self._pruned(lambda d: False if d.name in names else None if d.parts else True)
+
+    def group(self, names: set[str], name: str) -> Domain:
+        """The named parts of this domain put under one new domain in their first one's place."""
+        members = tuple(p for p in self.parts if p.name in names)
+        at = next(i for i, p in enumerate(self.parts) if p.name in names)
+        rest = [p for p in self.parts if p.name not in names]
+        rest.insert(sum(p.name not in names for p in self.parts[:at]), Domain(name, "group", (), members))
+        return replace(self, parts=tuple(rest))
+
+    def split(self, count: int, scope: str) -> list[Team]:
+        """Teams of the units of as many consecutive domains of a scope each."""
+        found = self.scoped(scope)
+        each = div_ceil(len(found), count)
+        chunks = [found[i * each : (i + 1) * each] for i in range(count)]
+        return [Team(tuple(sorted(u for d in chunk for u in d.all_units())), i) for i, chunk in enumerate(chunks)]

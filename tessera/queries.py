@@ -2,52 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.catalogue import GRID as _GRID
+from tessera.catalogue import ORACLE_SQL, QUERIES, events, grid, orders, query
 from tessera.functions import arrays
 from tessera.operators import algorithms as alg
 from tessera.operators import collectives, keyed, linalg, stencil, views
-from tessera.operators.array import GridArray, matrix_of_arrays
+from tessera.operators.array import GridArray
 from tessera.operators.reduce_ops import BIT_AND, BIT_OR, BIT_XOR, FIRST, LOGICAL_AND, LOGICAL_OR, LOGICAL_XOR, MAX, MIN, OPS, PLUS, SECOND, custom
 from tessera.plans.patterns import BLOCKED, BLOCKCYCLIC, CYCLIC, NONE, TILE, IrregularPattern, Pattern, SeqTilePattern, ShiftTilePattern, TilePattern, long
 from tessera.session import table
 from tessera.streaming.running import windowed_reduce
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def orders(spark: SparkSession, d: str, value: str = "o_totalprice", pattern: Callable[[int], object] | None = None) -> GridArray:
-    """Orders as an array over the dense key; the extent is the number of rows."""
-    df = table(spark, d, "orders")
-    n = df.count()
-    return GridArray.of(df, "o_orderkey", value, n, pattern(n) if pattern else None)
-
-
-def events(spark: SparkSession, d: str) -> GridArray:
-    df = table(spark, d, "events")
-    return GridArray.of(df, "event_id", "value", df.count())
-
-
-def grid(spark: SparkSession, d: str) -> GridArray:
-    df = table(spark, d, "embeddings")
-    return matrix_of_arrays(df.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "vec_id", "e", (df.count(), 64))
-
-
-_GRID = "g AS (SELECT vec_id AS i0, unnest(range(len(embedding))) AS i1, unnest(embedding)::DOUBLE AS value FROM embeddings)"
 _WRAPPED = "wrapped_{g} AS (SELECT *, (i0 + n - 1) % n AS up, (i0 + 1) % n AS down, (i1 + 63) % 64 AS west, (i1 + 1) % 64 AS east FROM {g}, (SELECT max(i0) + 1 AS n FROM {g}))"
 _PLACED = "SELECT gidx, unit::INTEGER AS unit, lidx::BIGINT AS lidx FROM"
 
@@ -190,30 +158,27 @@ def find_if_unit_order(spark, d):
 def quantifiers(spark, d):
     df = table(spark, d, "part")
     a = GridArray.of(df, "p_partkey", "p_size", df.count())
-    one = lambda r, n: r.select(F.col("result").alias(n))
-    all_, any_, none_ = one(alg.all_of(a, lambda v: v > 0), "all_of"), one(alg.any_of(a, lambda v: v > 60), "any_of"), one(alg.none_of(a, lambda v: v > 60), "none_of")
-    return all_.crossJoin(F.broadcast(any_)).crossJoin(F.broadcast(none_))  # one row each
+    return alg.quantified(a, all_of=lambda v: v > 0, any_of=lambda v: v > 60, none_of=lambda v: v > 60)
 
 
-@query("""SELECT bool_and(a.event_type IS NOT DISTINCT FROM b.event_type) AS result
-       FROM (SELECT * FROM events WHERE event_id BETWEEN 10 AND 500) a FULL JOIN (SELECT event_id - 1 AS event_id, event_type FROM events WHERE event_id BETWEEN 11 AND 501) b USING (event_id)""")
+@query("SELECT bool_and(a.event_type IS NOT DISTINCT FROM b.event_type) AS result FROM events a JOIN events b ON b.event_id = a.event_id + 1")
 def equal_shifted(spark, d):
     df = table(spark, d, "events")
     a = GridArray.of(df, "event_id", "event_type", df.count())
-    return alg.equal(a, a, (10, 501), 11)
+    return alg.equal(a, a, (0, a.size - 1), 1)
 
 
-@query("SELECT bool_and(abs(a.value - b.value) < 1e9) AS result FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id BETWEEN 10 AND 500")
+@query("SELECT bool_and(abs(a.o_totalprice - b.o_totalprice) < 495000) AS result FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
 def equal_predicate(spark, d):
-    a = events(spark, d)
-    return alg.equal(a, a, (10, 501), 11, lambda x, y: F.abs(x - y) < 1e9)
+    a = orders(spark, d)
+    return alg.equal(a, a, (0, a.size - 1), 1, lambda x, y: F.abs(x - y) < 495000)
 
 
 @query("""SELECT a.event_id AS idx, a.value AS a, b.value AS b FROM events a JOIN events b ON b.event_id = a.event_id + 3
-       WHERE a.event_id < 1000 - 3 AND a.value IS DISTINCT FROM b.value ORDER BY 1 LIMIT 1""")
+       WHERE a.value IS DISTINCT FROM b.value ORDER BY 1 LIMIT 1""")
 def mismatch(spark, d):
     a = events(spark, d)
-    return alg.mismatch(a, a, (0, 997), 3)
+    return alg.mismatch(a, a, (0, a.size - 3), 3)
 
 
 # element-wise maps and movement
@@ -650,7 +615,7 @@ def counter_total(spark, d):
 @query("SELECT user_id AS gidx, event_id AS seq, coalesce(sum(length(event_type)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS fetched FROM events")
 def atomic_fetch_add(spark, d):
     u = table(spark, d, "events").select(F.col("user_id").alias("gidx"), F.col("event_id").alias("seq"), F.length("event_type").cast("long").alias("value"))
-    return keyed.fetch_op(u).select("gidx", "seq", "fetched")
+    return keyed.fetch_add(u).select("gidx", "seq", "fetched")
 
 
 @query("SELECT user_id AS gidx, event_id AS seq, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS fetched FROM events")
@@ -699,3 +664,8 @@ def math_div_ceil(spark, d):
 def windowed_events(spark, d):
     out = windowed_reduce(table(spark, d, "events"), "ts", "value", "1 hour", "10 minutes", "event_type")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from tessera import queries_grid, queries_store, queries_units  # noqa: E402  their queries join the register
+
+__all__ = ["ORACLE_SQL", "QUERIES", "queries_grid", "queries_store", "queries_units"]

@@ -6,32 +6,38 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators.array import GridArray
 from tessera.plans.patterns import Pattern, from_json
+from tessera.session import checkpointed
 
 
-def write_array(a: GridArray, path: str, mode: str = "overwrite", convert=None, by_block: bool = False, store_pattern: bool = True) -> None:
-    """The array below ``path``: ``data`` and ``pattern``. ``by_block`` lays files out by the pattern's blocks.
+def write_array(a: GridArray, path: str, mode: str = "overwrite", convert=None, by_block: bool = False, store_pattern: bool = True, pattern_key: str = "pattern") -> None:
+    """The array below ``path``: ``data`` and ``pattern_key``. ``by_block`` lays files out by the pattern's blocks.
 
-    ``mode`` is overwrite, append (further cells) or errorifexists; ``convert`` maps values to a storable type."""
+    ``mode`` is overwrite, append (further cells), modify (cells that are there are replaced, others stay) or
+    errorifexists; ``convert`` maps values to a storable type."""
     df = a.df if convert is None else a.df.withColumn("value", convert(F.col("value")))
-    names = a.index_names
+    names, spark = a.index_names, a.df.sparkSession
+    df = df.select(*names, "value")
+    if mode == "modify":
+        old = spark.read.parquet(f"{path}/data").select(*names, "value")
+        df = checkpointed(df.unionByName(old.join(df.select(*names), names, "left_anti")))  # what is read is replaced
     if by_block:
         df = df.withColumn("block", a.pattern.block_at(a.coords).cast("long"))
-        df.select(*names, "value", "block").write.mode(mode).partitionBy("block").parquet(f"{path}/data")
-    else:
-        df.select(*names, "value").write.mode(mode).parquet(f"{path}/data")
-    if store_pattern and mode != "append":
-        a.df.sparkSession.createDataFrame([(a.pattern.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/pattern")
+    out = df.write.mode("overwrite" if mode == "modify" else mode)
+    (out.partitionBy("block") if by_block else out).parquet(f"{path}/data")
+    if store_pattern and mode not in ("append", "modify"):
+        spark.createDataFrame([(a.pattern.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{pattern_key}")
 
 
-def read_array(spark: SparkSession, path: str, pattern: Pattern | None = None, convert=None) -> GridArray:
+def read_array(spark: SparkSession, path: str, pattern: Pattern | None = None, convert=None, pattern_key: str = "pattern") -> GridArray:
     """A stored array with the given pattern, else the stored one, else a plain one of as many cells."""
     df = spark.read.parquet(f"{path}/data")
     if pattern is None:
         try:
-            pattern = from_json(spark.read.text(f"{path}/pattern").head()[0])
+            pattern = from_json(spark.read.text(f"{path}/{pattern_key}").head()[0])
         except Exception as e:  # no pattern was stored
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -45,17 +51,25 @@ def read_array(spark: SparkSession, path: str, pattern: Pattern | None = None, c
     return GridArray(df.select(*names, value.alias("value")), pattern)
 
 
+def remove_array(spark: SparkSession, path: str) -> bool:
+    """Removes a stored array; whether there was one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @dataclass
 class ArrayStore:
-    """A file of named datasets: ``store.dataset("a/b").mode("append") << array``; ``store.dataset("a/b").read()``."""
+    """A file of named datasets: ``store.dataset("a/b").mode("append") << array``; ``store.dataset("a/b") >> pattern``
+    (or None) reads. With ``later()`` writes wait in order until ``flush()``."""
 
     spark: SparkSession
     path: str
     name: str = "data"
     options: dict = field(default_factory=dict)
+    waiting: list | None = None
 
     def _with(self, **more) -> ArrayStore:
-        return ArrayStore(self.spark, self.path, more.pop("name", self.name), self.options | more)
+        return ArrayStore(self.spark, self.path, more.pop("name", self.name), self.options | more, self.waiting)
 
     def dataset(self, name: str) -> ArrayStore:
         return self._with(name=name)
@@ -63,40 +77,81 @@ class ArrayStore:
     def mode(self, mode: str) -> ArrayStore:
         return self._with(mode=mode)
 
+    def modify(self) -> ArrayStore:
+        return self._with(mode="modify")
+
     def converter(self, convert) -> ArrayStore:
         return self._with(convert=convert)
 
     def store_pattern(self, store: bool) -> ArrayStore:
         return self._with(store_pattern=store)
 
+    def pattern_key(self, key: str) -> ArrayStore:
+        return self._with(pattern_key=key)
+
     def by_block(self) -> ArrayStore:
         return self._with(by_block=True)
 
+    def later(self) -> ArrayStore:
+        out = self._with()
+        out.waiting = []
+        return out
+
     def __lshift__(self, a: GridArray) -> ArrayStore:
-        write_array(a, f"{self.path}/{self.name}", **self.options)
+        write = (a, f"{self.path}/{self.name}", dict(self.options))
+        if self.waiting is None:
+            write_array(write[0], write[1], **write[2])
+        else:
+            self.waiting.append(write)
         return self
 
+    def flush(self) -> None:
+        for a, path, options in self.waiting or ():
+            write_array(a, path, **options)
+        self.waiting = None if self.waiting is None else []
+
     def read(self, pattern: Pattern | None = None) -> GridArray:
-        return read_array(self.spark, f"{self.path}/{self.name}", pattern, self.options.get("convert"))
+        return read_array(self.spark, f"{self.path}/{self.name}", pattern, self.options.get("convert"), self.options.get("pattern_key", "pattern"))
+
+    __rshift__ = read
+
+    def remove(self) -> bool:
+        return remove_array(self.spark, f"{self.path}/{self.name}")
+
+
+def _numbered_lines(spark: SparkSession, path: str, comment: str = "") -> DataFrame:
+    """no, value: the lines of one file that aren't empty or comments, numbers growing from the first one on."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("no"), F.trim("value").alias("value")).where("value <> ''")
+    return lines.where(~F.col("value").startswith(comment)) if comment else lines
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """src, dst (from zero): both directions of the entries of a symmetric coordinate file; loops are left out.
 
-    The first line that is no comment has the two extents and the number of entries; lines equal to it are no entries."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    fields = F.split(F.trim("value"), r"\s+")
-    head = lines.head()[0].strip()
-    pairs = lines.where(F.trim("value") != head).select((fields[0].cast("long") - 1).alias("src"), (fields[1].cast("long") - 1).alias("dst")).where("src <> dst")
+    The first line that is no comment has the two extents and the number of entries."""
+    lines = _numbered_lines(spark, path, "%")
+    head = lines.agg(F.min("no")).first()[0]
+    fields = F.split("value", r"\s+")
+    pairs = lines.where(F.col("no") != (-1 if head is None else head)).select((fields[0].cast("long") - 1).alias("src"), (fields[1].cast("long") - 1).alias("dst")).where("src <> dst")
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst of a text of two lines or more: row starts, then column numbers (compressed sparse rows)."""
-    rows = [[int(x) for x in r[0].split()] for r in spark.read.text(path, wholetext=False).collect() if r[0].strip()]  # graphs for the driver's ordering
-    starts, columns = rows[0], [c for r in rows[1:] for c in r]
-    edges = [(i, c) for i in range(len(starts) - 1) for c in columns[starts[i] : starts[i + 1]]]
-    return spark.createDataFrame(edges, "src long, dst long")
+    """src, dst of a text of compressed sparse rows: the first line has the rows' starts and the end of the last one,
+    all further lines have column numbers. A line is read whole by one task; entries meet their rows by a join."""
+    lines = _numbered_lines(spark, path)
+    head = lines.agg(F.min("no")).first()[0]
+    if head is None:
+        return spark.createDataFrame([], "src long, dst long")
+    numbers = F.transform(F.split("value", r"\s+"), lambda x: x.cast("long"))
+    sized = lines.where(F.col("no") != head).select("no", numbers.alias("dsts"), F.size(numbers).alias("n"))
+    before = F.sum("n").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1))  # a row for each line
+    starts = sized.select("no", F.coalesce(before, F.lit(0)).alias("begin"))
+    columns = sized.join(starts, "no").select("begin", F.posexplode("dsts").alias("k", "dst")).select((F.col("begin") + F.col("k")).alias("place"), "dst")
+    rows = lines.where(F.col("no") == head).select(numbers.alias("at")).select("at", F.posexplode(F.slice("at", 1, F.size("at") - 1)).alias("src", "first"))
+    rows = rows.select(F.col("src").cast("long").alias("src"), "first", F.get("at", F.col("src") + 1).alias("last")).where("last > first")
+    places = rows.select("src", F.explode(F.sequence("first", F.col("last") - 1)).alias("place"))
+    return places.join(columns, "place").select("src", "dst")
 
 
 def pgm_lines(image: GridArray, most: int = 255) -> DataFrame:

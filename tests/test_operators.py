@@ -236,7 +236,7 @@ def test_maps(spark):
 def test_atomics(spark):
     u = spark.createDataFrame([(0, 1, 5), (0, 2, 6), (1, 1, 7)], "gidx long, seq long, value long")
     start = spark.createDataFrame([(0, 100)], "gidx long, value long")
-    assert sorted((r.gidx, r.seq, r.fetched) for r in keyed.fetch_op(u, start).collect()) == [(0, 1, 100), (0, 2, 105), (1, 1, 0)]
+    assert sorted((r.gidx, r.seq, r.fetched) for r in keyed.fetch_add(u, start).collect()) == [(0, 1, 100), (0, 2, 105), (1, 1, 0)]
     assert sorted((r.gidx, r.value) for r in keyed.store_last(u).collect()) == [(0, 6), (1, 7)]
     assert {(r.gidx, r.seq): r.fetched for r in keyed.exchange(u).collect()} == {(0, 1): None, (0, 2): 5, (1, 1): None}
     c = spark.createDataFrame([(0, 1, 0, 3), (0, 2, 9, 4), (0, 3, 3, 8)], "gidx long, seq long, expected long, desired long")
