@@ -118,18 +118,28 @@ def best_fit(items: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray, n
     return bins, places, final[bins] if len(final) else bins
 
 
+#: Equal pieces that go to one shard together.
+TOGETHER = 1024
+
+
 def pack(items: DataFrame, sizes: Sizes = Sizes(), shard_rows: int = 40_000) -> DataFrame:
     """doc_id, piece, start, n_tokens, bin_id, place, bin_size: one row for each piece.
 
-    A shard has about ``shard_rows`` pieces at every input size, so tasks stay alike as the input grows."""
-    cut = common.checkpointed(pieces(items, sizes.lengths[-1]))
-    shards = max(1, -(-cut.count() // shard_rows))
+    A shard has about ``shard_rows`` pieces at every input size, so tasks stay alike as the input grows. Equal pieces
+    (of equal rows) are counted first and dealt in groups of ``TOGETHER``, so no row that repeats fills a shard."""
+    same = ["doc_id", "piece", "start", "n_tokens", "deal"]
+    cut = common.checkpointed(pieces(items, sizes.lengths[-1]).groupBy(*same).agg(F.count("*").alias("n")))
+    total = cut.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, -(-total // shard_rows))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        bins, places, final = best_fit(group.column("n_tokens").to_numpy(), sizes)
+        group = group.sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("part", "ascending")])
         first = group.column("shard")[0].as_py() << 32
+        group = group.take(np.repeat(np.arange(group.num_rows), group.column("n").to_numpy()))
+        bins, places, final = best_fit(group.column("n_tokens").to_numpy(), sizes)
         return pa.table([group.column("doc_id"), group.column("piece"), group.column("start"), group.column("n_tokens"), pa.array(first + bins), pa.array(places), pa.array(final, pa.int32())], ["doc_id", "piece", "start", "n_tokens", "bin_id", "place", "bin_size"])
 
-    dealt = cut.withColumn("shard", F.pmod("deal", F.lit(shards).cast("long")))
+    parts = cut.select(*same, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {TOGETHER}"))).alias("part"))
+    parts = parts.withColumn("n", F.least(F.lit(TOGETHER).cast("long"), F.col("n") - F.col("part") * TOGETHER))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("deal", "part"), F.lit(shards).cast("long")))
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, n_tokens int, bin_id long, place long, bin_size int")
