@@ -78,27 +78,33 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_revisits": r"""
         WITH p AS (
-            SELECT page_id, md5(coalesce(html, '')) AS tag, length(coalesce(html, '')) AS size,
-                   regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare
-            FROM pages
-        ), k AS (
-            SELECT page_id, tag, size, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+            SELECT page_id, page_id % 7 AS kind, '"' || md5(coalesce(html, '')) || '"' AS tag, length(coalesce(html, '')) AS size, 'day ' || (page_id // 10) AS day,
+                   regexp_replace(trim(url), '#.*$', '') AS asked, regexp_replace(url, '[#?].*$', '') AS address, regexp_extract(url, '(\?[^#]*)', 1) AS question FROM pages
+        ), a AS (
+            SELECT *, asked AS first_url, address || CASE WHEN kind = 4 THEN '/never-' || page_id ELSE question END AS again_url FROM p
+        ), l AS (
+            SELECT *, false AS again, first_url AS u FROM a UNION ALL SELECT *, true, again_url FROM a
+        ), b AS (SELECT *, regexp_replace(trim(u), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM l),
+        k AS (
+            SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
                    || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
                    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND lower(regexp_extract(x, '^([^=]*)', 1))
                    NOT IN ('ref', 'utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'sessionid'))), '&') AS query
-            FROM p
-        ), u AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM k),
+            FROM b
+        ), r AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key FROM k),
         j AS (
-            SELECT r.page_id, r.url_key, r.tag, f.page_id AS source, f.tag AS source_tag, f.size AS source_size,
-                   row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC) AS n
-            FROM u AS r LEFT JOIN u AS f ON f.url_key = r.url_key AND f.page_id < r.page_id + 500
+            SELECT v.page_id, v.url_key, v.kind, v.tag, v.day, f.page_id AS source, f.kind AS source_kind, f.tag AS source_tag, f.day AS source_day, f.size AS source_size,
+                   row_number() OVER (PARTITION BY v.page_id ORDER BY f.page_id DESC) AS n
+            FROM r AS v LEFT JOIN r AS f ON NOT f.again AND f.url_key = v.url_key AND f.url_key <> '' AND f.page_id < v.page_id + 500 WHERE v.again
+        ), o AS (
+            SELECT *, CASE WHEN source IS NULL THEN 'orphan' WHEN source_kind = 3 OR kind = 2 THEN 'unverified'
+                   WHEN kind = 1 THEN CASE WHEN day = source_day THEN 'resolved' ELSE 'mismatch' END WHEN kind <> 5 AND tag = source_tag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j WHERE n = 1
         )
-        SELECT page_id * 2 + 1 AS record_id, url_key, page_id + 500 AS ts,
-               CASE WHEN source IS NULL THEN 'orphan' WHEN tag = source_tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
-               source * 2 AS source_id, source AS source_ts,
-               CASE WHEN tag = source_tag THEN 'content-length: ' || source_size || chr(10) || 'content-type: text/html' || chr(10)
-                    || 'date: ' || (page_id + 500) || chr(10) || 'etag: W/"' || tag || '"' || chr(10) || 'x-cache: revalidated' END AS headers
-        FROM j WHERE n = 1
+        SELECT page_id * 2 + 1 AS record_id, url_key, page_id + 500 AS ts, outcome, source * 2 AS source_id, source AS source_ts,
+               CASE WHEN outcome IN ('resolved', 'unverified') THEN array_to_string(list_filter(['content-length: ' || source_size, 'content-type: text/html', 'date: ' || (page_id + 500),
+                   'etag: ' || CASE WHEN kind = 5 THEN '"stale"' WHEN kind NOT IN (1, 2) THEN 'W/' || tag WHEN source_kind <> 3 THEN source_tag END,
+                   'last-modified: ' || CASE WHEN source_kind <> 3 THEN source_day END, 'x-cache: revalidated'], lambda x: x IS NOT NULL), chr(10)) END AS headers
+        FROM o
     """,
     "op8_topk": """
         WITH v AS (

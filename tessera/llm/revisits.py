@@ -10,9 +10,10 @@ running maximum finds the latest response; the spans' last responses, one row fo
 and joined to the revisits that have none within their own span.
 
 Defined results: outcome is resolved, mismatch (validators differ), unverified (no validator on either side to
-compare) or orphan (no earlier full response); records with a null URL or time are orphans; a response at the same
+compare; headers are merged as for resolved) or orphan (no earlier full response); records with a null time, or with
+a URL that is null or has neither host nor path, are orphans; a response at the same
 time as the revisit is not earlier; among responses of one time the largest record_id counts; repeated revisits
-each give a row.
+each give a row; further columns are left out.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def resolve(captures: DataFrame, span: int = 65_536) -> DataFrame:
         F.coalesce(F.col("is_revisit"), F.lit(False)).alias("is_revisit"), "etag", "last_modified", "headers",
     )
     placed = rows.withColumn("at", F.expr(f"ts div {int(span)}"))
-    known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    known = F.coalesce(F.col("url_key") != "", F.lit(False)) & F.col("ts").isNotNull()
     full = F.when(~F.col("is_revisit"), F.struct("ts", "record_id", "etag", "last_modified", "headers"))
     order = F.when(~F.col("is_revisit"), F.struct("ts", "record_id"))
     before = Window.partitionBy("url_key", "at").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
@@ -78,22 +79,32 @@ def resolve(captures: DataFrame, span: int = 65_536) -> DataFrame:
 
 def captures_of(pages: DataFrame, later: int = 500) -> DataFrame:
     """A capture log from a table of pages: each page is fetched whole at the time of its id and asked for again
-    ``later`` ticks after that, with the entity tag of its own html, by an address with another spelling."""
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), tag.alias("tag"), F.length(F.coalesce(F.col("html"), F.lit(""))).cast("string").alias("size"))
+    ``later`` ticks after that by an address with another spelling.
+
+    Responses have an entity tag of their html and a date of last modification, the same for ten pages each; pages
+    whose id leaves 3 by 7 have neither. What a revisit has to validate depends on its id modulo 7: its own page's tag
+    and date; for 1 the date alone; for 2 nothing; for 5 a tag that no page has; and for 4 it asks for an address that was never fetched."""
+    kind = F.pmod(F.col("page_id"), F.lit(7))
+    whole = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    tag = F.concat(F.lit('"'), F.md5(whole.cast("binary")), F.lit('"'))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), tag.alias("tag"), F.length(whole).cast("string").alias("size"))
+    base = base.withColumn("changed", F.concat(F.lit("day "), F.expr("page_id div 10").cast("string")))
     text = lambda c: F.col(c).cast("string")
+    entries = lambda **h: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k.replace("_", "-")).alias("key"), v.alias("value")) for k, v in h.items())), lambda e: e["value"].isNotNull()))
+    first_tag, first_date = F.when(kind != 3, F.col("tag")), F.when(kind != 3, F.col("changed"))
+    again_tag, again_date = F.when(kind == 5, F.lit('"stale"')).when(~kind.isin(1, 2), F.concat(F.lit("W/"), F.col("tag"))), F.when(kind != 2, F.col("changed"))
+    address = F.concat(F.regexp_replace("url", "[#?].*$", ""), F.when(kind == 4, F.concat(F.lit("/never-"), text("page_id"))).otherwise(F.regexp_extract("url", r"(\?[^#]*)", 1)), F.lit("#again"))
     kinds = F.array(
         F.struct(
-            (F.col("page_id") * 2).alias("record_id"), F.col("url").alias("url"), F.col("page_id").alias("ts"), F.lit(False).alias("is_revisit"),
-            F.create_map(F.lit("content-length"), F.col("size"), F.lit("content-type"), F.lit("text/html"), F.lit("etag"), F.col("tag"), F.lit("date"), text("page_id")).alias("headers"),
+            (F.col("page_id") * 2).alias("record_id"), F.col("url").alias("url"), F.col("page_id").alias("ts"), F.lit(False).alias("is_revisit"), first_tag.alias("etag"), first_date.alias("last_modified"),
+            entries(content_length=F.col("size"), content_type=F.lit("text/html"), etag=first_tag, last_modified=first_date, date=text("page_id")).alias("headers"),
         ),
         F.struct(
-            (F.col("page_id") * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"), (F.col("page_id") + later).alias("ts"), F.lit(True).alias("is_revisit"),
-            F.create_map(F.lit("content-length"), F.lit("0"), F.lit("etag"), F.concat(F.lit("W/"), F.col("tag")), F.lit("date"), (F.col("page_id") + later).cast("string"), F.lit("x-cache"), F.lit("revalidated")).alias("headers"),
+            (F.col("page_id") * 2 + 1).alias("record_id"), address.alias("url"), (F.col("page_id") + later).alias("ts"), F.lit(True).alias("is_revisit"), again_tag.alias("etag"), again_date.alias("last_modified"),
+            entries(content_length=F.lit("0"), etag=again_tag, date=(F.col("page_id") + later).cast("string"), x_cache=F.lit("revalidated")).alias("headers"),
         ),
     )
-    both = base.select(F.explode(kinds).alias("c")).select("c.*")
-    return both.select("record_id", "url", "ts", "is_revisit", F.col("headers")["etag"].alias("etag"), F.lit(None).cast("string").alias("last_modified"), "headers")
+    return base.select(F.explode(kinds).alias("c")).select("c.*")
 
 
 def header_lines(headers: Column) -> Column:
