@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,16 +33,17 @@ def held_out(doc_id: Column | str, modulus: int, rest: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the setting is absent (tests, notebooks) a local folder is set for this session."""
+    """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share."""
     base = checkpoint_folder(spark)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a local folder in a session of one machine, an error in others."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
@@ -82,8 +84,8 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, most: int) -> DataFrame:
     """At most ``most`` training rows (doc_id, text, y): labelled documents that are not held out.
 
-    The rows are those of the smallest hashes of their ids, so the sample is the same on every run.
-    The ids that are broadcast are bounded by ``most``."""
+    The rows are those of the smallest hashes of their ids, so the sample is the same on every run; of rows that share
+    an id the one with the least text is taken. The ids that are broadcast are bounded by ``most``."""
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, rest))
@@ -93,7 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .limit(most)
     )
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 #: Bytes of text that a step is given at once, or one text if that is longer.

@@ -6,7 +6,8 @@ equations, the sums meet in Spark, and the driver solves one small system. A fur
 then fits a monotone step function from ridge outputs to probabilities.
 
 Defined results: null and empty texts have statistics of zero and score as such; without labelled rows of both
-kinds each score is the share of good labels (1 if there are none); a null doc_id is scored and never held out.
+kinds each score is the share of good labels (1 if there are none); a null doc_id is scored and never held out; texts
+of any length are measured whole; repeated rows score alike; further columns are left out.
 """
 
 from __future__ import annotations
@@ -146,17 +147,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 16_000, cosines: int = 1
             total[size] += phi.T @ y
         yield _triples(total)
 
-    fitted = rows.where("part < 4") if n[0] >= 50 else rows
-    both = rows.select(F.countDistinct("y").alias("n"), F.avg("y").alias("mean")).first()
-    if both["n"] < 2:
-        return _constant(float(both["mean"]))
+    both = rows.groupBy((F.col("part") < 4).alias("fits")).agg(F.countDistinct("y").alias("n"), F.sum("y").alias("y")).collect()
+    kinds = {r["fits"]: r["n"] for r in both}
+    if rows.select("y").distinct().count() < 2:
+        return _constant(sum(r["y"] for r in both) / n[0])
+    # a part that lacks one of the labels can't do its work: all rows do it then
+    fitted = rows.where("part < 4") if kinds.get(True) == 2 else rows
     normal = _summed(fitted.mapInArrow(equations, "i int, j int, v double"), (size + 1, size))
     count = max(1.0, normal[0, 0])
     weights = np.linalg.solve(normal[:size] / count + ridge * np.eye(size), normal[size] / count)
     model = QualityModel(mean, scale, directions, phases, weights, (np.zeros(1), np.zeros(1)))
-    kept = (rows.where("part = 4") if n[0] >= 50 else rows).select("y", "x").toPandas()  # bounded by the sample
-    if kept["y"].nunique() < 2:
-        kept = rows.select("y", "x").toPandas()
+    kept = (rows.where("part = 4") if kinds.get(False) == 2 else rows).select("y", "x").toPandas()  # bounded by the sample
     steps = isotonic(model.raw(np.stack(kept["x"].to_numpy())), kept["y"].to_numpy(float))
     return QualityModel(mean, scale, directions, phases, weights, steps)
 

@@ -9,7 +9,8 @@ Weights are lower confidence bounds of log odds learned from labelled rows; `BAS
 for which there are no labelled rows.
 
 Defined results: null and empty texts have no hits and score as such; repeated rows score alike; a null doc_id
-is scored and never held out; with no labelled rows of both kinds only the base lexicon is used.
+is scored and never held out; texts of any length are read whole; with no labelled rows of both kinds only the base
+lexicon is used; where two entries begin a word the greater weight counts; further columns are left out.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import ahocorasick
 import numpy as np
@@ -118,7 +120,7 @@ class ToxicityModel:
         for begin, end in covered:
             for at in [h for h in hits if begin <= h < end]:
                 del hits[at]
-        return sum(hits.values()), len(hits), max(folded.count(" ") - 1, 0)
+        return sum(hits.values()), len(hits), folded.count(" ") - 1 if folded.strip() else 0
 
     def normalised(self, strength: float, words: int) -> float:
         return strength / max(1.0, words / 100) ** self.length_power
@@ -128,19 +130,22 @@ class ToxicityModel:
 
 
 def _features(text: str, shortest: int = 4, longest: int = 6) -> set[str]:
-    """Beginnings of 4 to 6 letters, and whole words (with a space at the end)."""
+    """Beginnings of 4 to 6 letters, and whole words (with a space at the end) of up to 24 letters."""
     out: set[str] = set()
     for word in set(fold(text).split()):
         if len(word) >= 3:
-            out.add(f"{word[:24]} ")
+            if len(word) <= 24:
+                out.add(f"{word} ")
             out.update(word[:n] for n in range(shortest, min(longest, len(word)) + 1))
     return out
 
 
 def _near_copy_key(text: str) -> int:
-    """The smallest hash of five words in a row: near copies mostly share it, other texts don't."""
+    """From the four smallest hashes of five words in a row: copies with few changes mostly share it, texts that have
+    no more than some lines in common don't."""
     words = text.lower().split()
-    return min(zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4)))
+    least = nsmallest(4, {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))})
+    return zlib.crc32(repr(least).encode()) << 31 | least[0] >> 1
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
