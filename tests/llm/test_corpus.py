@@ -152,6 +152,27 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, r.piece, r.n_tokens) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.n_tokens) for r in last)
 
 
+def test_pipeline_of_odd_rows(spark):
+    """Null ids, one id on different texts, repeated rows, empty and null texts, very long ones, further columns with
+    names that the operators use: each stage keeps whole rows, and clean ones."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    clean = docs.join(spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1 and toxic = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(6).collect()
+    a, b, c = (r.text for r in clean[:3])
+    texts = [(1, a), (1, a), (1, b), (2, b), (None, c), (None, c), (None, a), (3, None), (4, ""), (5, "x" * 200_000), (6, " ".join([c] * 200)), *((r.doc_id + 100, r.text) for r in clean[3:])]
+    rows = [(i, t, "en", "here", None if t is None else len(t), "n", 1.5, b"k", 7, "r") for i, t in texts]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node string, score double, key binary, size int, root string")
+    kept = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, common.checkpointed(stage(spark, kept, DATA))
+        assert kept.columns == odd.columns
+        assert not Counter(map(tuple, kept.collect())) - Counter(map(tuple, before.collect()))
+    left = {t for _, t in [(r.doc_id, r.text) for r in kept.collect()]}
+    assert {a, b, c, *(r.text for r in clean[3:])} <= left
+    assert len(left) == kept.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, DATA).collect()
+    assert sum(r.n_tokens for r in packed) == sum(len((t or "").split()) + 1 for t in left)
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -167,6 +167,71 @@ def test_packing_rows(spark):
     assert packing.pack(packing.lengths(docs.limit(0))).count() == 0
 
 
+def naive_best_fit(items, sizes):
+    """The bins as (size, contents) by looking at every open bin and filling every permitted size item by item. Of
+    bins with the same room the one that came to it last is taken."""
+    order = sorted(range(len(items)), key=lambda i: (-items[i], i))
+    bins = []  # size, used, when last used
+    for at, i in enumerate(order):
+        n = items[i]
+        fitting = [(size - used, -when, b) for b, (size, used, when) in enumerate(bins) if size - used >= n]
+        if fitting:
+            b = min(fitting)[2]
+        else:
+            best = None
+            for size in sizes.lengths:
+                if size >= n:
+                    room = size - n
+                    for j in order[at + 1 :]:
+                        room -= items[j] if items[j] <= room else 0
+                    rate = sizes.cost(sizes.holding(size - room)) / (size - room)
+                    if best is None or rate < best[0] - 1e-12:
+                        best = (rate, size)
+            bins.append((best[1], 0, 0))
+            b = len(bins) - 1
+        bins[b] = (bins[b][0], bins[b][1] + n, at)
+    return [used for _, used, _ in bins]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_equals_a_naive_one(seed):
+    rng = np.random.default_rng(seed)
+    sizes = packing.Sizes((8, 16, 32, 64), 512.0)
+    items = np.minimum(rng.geometric((0.05, 0.2, 0.5)[seed % 3], 150), 64)
+    bins, places, final = packing.best_fit(items, sizes)
+    used = np.bincount(bins, items).astype(int)
+    assert used.tolist() == naive_best_fit(items.tolist(), sizes)
+    assert [int(final[bins == b][0]) for b in range(len(used))] == [sizes.holding(int(u)) for u in used]
+
+
+def test_packing_of_one_repeated_row(spark, monkeypatch):
+    """Equal rows are dealt to all shards, each piece once; runs agree."""
+    monkeypatch.setattr(packing, "TOGETHER", 8)
+    docs = spark.range(600).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a b c").alias("text")).unionByName(spark.createDataFrame([(i, "w " * i) for i in range(40)], "doc_id long, text string"))
+    rows = packing.pack(packing.lengths(docs), shard_rows=40).collect()
+    assert len(rows) == 640 and len({(r.bin_id, r.place) for r in rows}) == 640
+    shards = Counter(r.bin_id >> 32 for r in rows if r.n_tokens == 4 and r.doc_id == 5)
+    assert len(shards) > 10 and max(shards.values()) < 160
+    again = packing.pack(packing.lengths(docs.repartition(7)), shard_rows=40).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
+
+
+def test_revisits_query_has_all_outcomes(spark):
+    from tessera.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    found = queries.op4_revisits(spark, data)
+    assert {r.outcome for r in found.select("outcome").distinct().collect()} == {"resolved", "mismatch", "unverified", "orphan"}
+    assert found.count() == spark.read.parquet(f"{data}/pages.parquet").count()
+
+
+def test_revisits_of_odd_pages(spark):
+    """Repeated rows, null ids and null or empty addresses: one row for each revisit, and no page answers for an empty address."""
+    pages = spark.createDataFrame([(1, "http://a.org/x", "h"), (1, "http://a.org/x", "h"), (7, "", "h"), (8, "", "h"), (14, None, "h"), (None, "http://a.org/x", "h"), (21, "http://a.org/x", None)], "page_id long, url string, html string").withColumn("headers", F.lit(0))
+    got = [(r.record_id, r.outcome) for r in revisits.resolve(revisits.captures_of(pages)).collect()]
+    assert Counter(got) == Counter([(3, "mismatch"), (3, "mismatch"), (15, "orphan"), (17, "orphan"), (29, "orphan"), (None, "orphan"), (43, "resolved")])
+
+
 CAPTURES = [
     (1, "http://WWW.a.org:80/x/?utm_source=q&b=2&a=1#f", 10, False, '"v1"', None, {"etag": '"v1"', "content-length": "5", "date": "d1"}),
     (2, "https://a.org/x?a=1&b=2", 20, True, 'W/"v1"', None, {"content-length": "0", "date": "d2"}),

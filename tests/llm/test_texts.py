@@ -61,6 +61,76 @@ def test_classifiers_on_odd_rows(spark, of):
     assert set(keep(docs, model).columns) == set(docs.columns)
 
 
+def naive_strength(model, text):
+    """Strength, hits and words by trying every entry and exception at every word."""
+    words = toxicity.fold(text).split()
+    weights = {}
+    for entry, w in model.entries:
+        weights[entry] = max(w, weights.get(entry, 0.0))
+    hits = {i: max((w for e, w in weights.items() if (word + " ").startswith(e)), default=0.0) for i, word in enumerate(words)}
+    for phrase in model.exceptions:
+        parts = toxicity.fold(phrase).split()
+        for i in range(len(words) - len(parts) + 1):
+            if words[i : i + len(parts)] == parts:
+                for j in range(i, i + len(parts)):
+                    hits[j] = 0.0
+    return sum(hits.values()), sum(w > 0 for w in hits.values()), len(words)
+
+
+def test_automaton_equals_a_naive_matcher(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert len(model.entries) > 20
+    machine = model.automaton()
+    r = random.Random(4)
+    texts = [t or "" for (t,) in docs.select("text").limit(60).collect()]
+    parts = [e.strip() for e, _ in model.entries] + list(model.exceptions) + ["word", "tr4sh c4n", "...", "x" * 40]
+    texts += [" ".join(r.choice(parts) + r.choice(["", "s", "ed", "!"]) for _ in range(r.randint(1, 15))) for _ in range(300)] + [t for _, t in ODD if t and len(t) < 1000]
+    for text in texts:
+        own, naive = model.strength(machine, text), naive_strength(model, text)
+        assert own[1:] == naive[1:] and own[0] == pytest.approx(naive[0]), text
+
+
+def test_long_words_give_no_whole_word_entry():
+    features = toxicity._features("abcdefghijklmnopqrstuvwxyzabc short")
+    assert "short " in features and not any(f.endswith(" ") and len(f) > 24 for f in features) and not any(len(f) > 6 for f in features if not f.endswith(" "))
+
+
+def test_only_near_copies_share_a_key():
+    r = random.Random(3)
+    line = "all rights are reserved by the owner of this text and so on and on"
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) + f" {line}" for _ in range(200)]
+    assert len({toxicity._near_copy_key(t) for t in texts}) == 200
+    assert sum(toxicity._near_copy_key(t) == toxicity._near_copy_key(t.replace(t.split()[100], "other")) for t in texts) > 150
+
+
+def test_quality_equals_a_direct_fit(spark):
+    """Ridge weights from all rows at once, calibration by a naive isotonic regression."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    sample = common.labelled_sample(docs, labels, "quality", 5, 0, 16_000).withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 5)")).collect()
+    x, y = np.stack([quality.statistics(r.text) for r in sample]), np.array([r.y for r in sample], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
+    fits = np.array([r.part < 4 for r in sample])
+    phi = quality.features(x, model.mean, model.scale, model.directions, model.phases)
+    a, b = phi[fits], y[fits]
+    weights = np.linalg.lstsq(np.vstack([a / np.sqrt(len(a)), np.sqrt(1e-3) * np.eye(a.shape[1])]), np.r_[b / np.sqrt(len(a)), np.zeros(a.shape[1])], rcond=None)[0]
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    raw, rest = phi[~fits] @ weights, y[~fits]
+    order = np.argsort(raw, kind="stable")
+    raw, rest = raw[order], rest[order]
+    # the greatest of the means of runs that end here or later, over the least start: min-max form of isotonic regression
+    sums = np.r_[0, np.cumsum(rest)]
+    value = [max(min((sums[j] - sums[i]) / (j - i) for j in range(k + 1, len(rest) + 1)) for i in range(k + 1)) for k in range(len(rest))]
+    assert np.allclose(np.interp(raw, *model.steps), value, atol=1e-9)
+
+
+def test_repeated_ids_leave_the_sample_bounded(spark):
+    docs = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int")
+    assert [tuple(r) for r in common.labelled_sample(docs, labels, "toxic", 3, 1, 10).collect()] == [(1, "text 0", 1)]
+
+
 def test_folding_and_exceptions():
     model = toxicity.ToxicityModel((("idiot".replace("l", "i"), 2.0), ("trash", 2.0)), toxicity.EXCEPTIONS, 1.0, 1.0)
     machine = model.automaton()
