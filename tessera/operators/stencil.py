@@ -77,7 +77,9 @@ def _places(x: Column, extent: int, size: int, low: int, high: int, cyclic: bool
 
     if not cyclic:
         return of(x, None)
-    return F.concat(of(x, None), of(x - long(extent), x >= extent + low), of(x + long(extent), x < high))
+    before = [of(x - long(k * extent), x - long(k * extent) >= low) for k in range(1, div_ceil(-low, extent) + 1)]
+    behind = [of(x + long(k * extent), x + long((k - 1) * extent) < high) for k in range(1, div_ceil(high, extent) + 1)]
+    return F.concat(of(x, None), *before, *behind)
 
 
 def dealt(a: GridArray, reach: tuple[tuple[int, int], ...], borders: tuple[str, ...], tile: tuple[int, ...]) -> DataFrame:

@@ -143,7 +143,7 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     head = lines.agg(F.min("no")).first()[0]
     if head is None:
         return spark.createDataFrame([], "src long, dst long")
-    numbers = F.transform(F.split("value", r"\s+"), lambda x: x.cast("long"))
+    numbers = F.transform(F.split("value", r"\s+"), lambda x: x.try_cast("long"))
     sized = lines.where(F.col("no") != head).select("no", numbers.alias("dsts"), F.size(numbers).alias("n"))
     before = F.sum("n").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1))  # a row for each line
     starts = sized.select("no", F.coalesce(before, F.lit(0)).alias("begin"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def windowed_reduce(events: DataFrame, ts: str, value: str, width: str, late: str, key: str | None = None) -> DataFrame:
-    """window start, (key,) n, total of fixed windows; rows later than ``late`` are left out. For batches and streams."""
+    """window start, (key,) n, total of fixed windows, for batches and streams. A stream waits ``late`` for rows of a
+    window and leaves out those that come after that; a batch is all there, so none of its rows is late."""
     rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
     rows = rows.withWatermark(ts, late) if rows.isStreaming else rows
     groups = [F.window(ts, width).alias("w"), *([F.col(key)] if key else [])]
@@ -16,4 +17,5 @@ def windowed_reduce(events: DataFrame, ts: str, value: str, width: str, late: st
 
 
 def running_histogram(events: DataFrame, key: str) -> DataFrame:
+    """key, n: so far, in a stream to be written in complete or update mode."""
     return events.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
