@@ -50,6 +50,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return base
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of a file system that Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, its lineage cut."""
     checkpoint_folder(df.sparkSession)
