@@ -37,11 +37,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packing of ``documents`` after all stages; each stage is written to the shared folder and read again."""
+    """The packing of ``documents`` after all stages; each stage is written to the shared folder and read again. What a
+    stage kept is removed when the next one is written; the last one's rows stay."""
     docs = common.table(spark, sf_dir, "documents")
-    folder = common.shared_folder(spark)
+    folder, before = common.shared_folder(spark), None
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            common.remove(spark, before)
+        before = out
     return docs
