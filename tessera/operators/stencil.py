@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators.array import GridArray
 from tessera.operators.reduce_ops import PLUS, ReduceOp
-from tessera.plans.patterns import div, long, mod
+from tessera.plans.patterns import div, long
 from tessera.plans.teams import div_ceil
 from tessera.session import checkpointed
 
@@ -63,75 +63,76 @@ class StencilSpec:
 TILES = {1: 1 << 12, 2: 64, 3: 16}
 
 
-def _places(x: Column, extent: int, size: int, low: int, high: int, cyclic: bool) -> Column:
-    """The tiles that need index ``x`` of a dimension, each with the index as the tile sees it (beyond the grid where it wraps)."""
-    count = div_ceil(extent, size)
-    far = (div_ceil(max(-low, high), size) + 1) * size  # keeps quotients from below zero
+# The expressions below are SQL texts: they have many parts, and a text is handed to the JVM in one call.
 
-    def of(y: Column, here: Column | None) -> Column:
-        first = F.greatest(div(y - high + far, size) - far // size, long(0))
-        last = F.least(div(y - low + far, size) - far // size, long(count - 1))
-        tiles = F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("t"), y.alias("y")))
-        there = first <= last if here is None else here & (first <= last)
-        return F.when(there, tiles).otherwise(F.array().cast("array<struct<t:bigint,y:bigint>>"))
 
-    if not cyclic:
-        return of(x, None)
-    before = [of(x - long(k * extent), x - long(k * extent) >= low) for k in range(1, div_ceil(-low, extent) + 1)]
-    behind = [of(x + long(k * extent), x + long((k - 1) * extent) < high) for k in range(1, div_ceil(high, extent) + 1)]
-    return F.concat(of(x, None), *before, *behind)
+def _places(x: str, extent: int, size: int, low: int, high: int, cyclic: bool) -> str:
+    """The tiles that need index ``x`` of a dimension, each with the index as the tile sees it (beyond the grid where it
+    wraps): an array of structs (t, y), null where a tile doesn't; one struct where the own tile is the only one.
+
+    Tile t needs what lies in [t * size + low, t * size + size + high)."""
+    count, t = div_ceil(extent, size), f"({x} div {size})"
+    place = lambda tile, y: f"named_struct('t', {tile}, 'y', {y})"
+    one = lambda there, tile, y: f"if({there} and {tile} >= 0 and {tile} < {count}, {place(tile, y)}, null)"
+    needs = lambda tile, y: f"{y} >= {tile} * {size} + {low} and {y} < {tile} * {size} + {size + high}"
+    reach_down, reach_up = div_ceil(high, size), div_ceil(-low, size)
+    out = [place(t, x)]
+    for j in (*range(-reach_down, 0), *range(1, reach_up + 1)):
+        tile = f"({t} + {j})"
+        out.append(one(needs(tile, x), tile, x))
+    alone = f"{x} - {t} * {size} >= {high} and {x} - {t} * {size} < {size + low}"
+    if cyclic:
+        for k in range(1, div_ceil(-low, extent) + 1):
+            y = f"({x} - {k * extent}L)"
+            out += [one(f"{y} >= {low} and {needs(f'{j}L', y)}", f"{j}L", y) for j in range(min(count, reach_up))]
+        for k in range(1, div_ceil(high, extent) + 1):
+            y = f"({x} + {k * extent}L)"
+            out += [one(f"{y} < {extent + high} and {needs(f'{j}L', y)}", f"{j}L", y) for j in range(max(0, count - 1 - reach_down), count)]
+        alone += f" and {x} < {extent + low} and {x} >= {high}"
+    return f"if({alone}, array({out[0]}), array({', '.join(out)}))"
 
 
 def dealt(a: GridArray, reach: tuple[tuple[int, int], ...], borders: tuple[str, ...], tile: tuple[int, ...]) -> DataFrame:
-    """t0, .. (tile), y0, .. (indices), value: each cell in its own tile and in those whose halo it belongs to."""
+    """t0, .. (tile), y0, .. (indices), value: each cell in its own tile and in those whose halo it belongs to. Cells
+    away from their tile's border, which are most, make one row without a look at other tiles."""
     df = a.df.select(*a.index_names, "value")
     for d, (n, e, b, size, (low, high)) in enumerate(zip(a.index_names, a.pattern.extents, borders, tile, reach)):
-        places = _places(F.col(n), e, size, low, high, b == CYCLIC)
-        df = df.select("*", F.explode(places).alias("_p")).select(*df.columns, F.col("_p.t").alias(f"t{d}"), F.col("_p.y").alias(f"y{d}")).drop(n)
+        kept = [c for c in df.columns if c != n]
+        df = df.selectExpr("*", f"explode({_places(n, e, size, low, high, b == CYCLIC)}) as _p").where("_p is not null")
+        df = df.selectExpr(*kept, f"_p.t as t{d}", f"_p.y as y{d}")
     return df
 
 
 def tiled(a: GridArray, reach: tuple[tuple[int, int], ...], borders: tuple[str, ...], tile: tuple[int, ...] | None = None) -> tuple[DataFrame, tuple[int, ...]]:
-    """(t0, .., cells, low0, high0, ..) and the tiles' sizes: a row for each tile with its cells and halo in order of
-    their indices, and the bounds of these."""
+    """(t0, .., cells, low0, high0, step0, .., dense) and the tiles' sizes: a row for each tile with its cells and halo
+    in order of their indices, the bounds of these, by how many places an index moves, and whether no cell is missing."""
     tile = tile or (TILES.get(a.ndim, 8),) * a.ndim
     dims = range(a.ndim)
-    cells = F.sort_array(F.collect_list(F.struct(*(F.col(f"y{d}") for d in dims), "value"))).alias("cells")
-    df = dealt(a, reach, borders, tile).groupBy(*(f"t{d}" for d in dims)).agg(cells)
+    places = ", ".join(f"'y{d}', y{d}" for d in dims)
+    df = dealt(a, reach, borders, tile).groupBy(*(f"t{d}" for d in dims)).agg(F.expr(f"sort_array(collect_list(named_struct({places}, 'value', value))) as cells"))
+    bounds, widths = [], []
     for d, (e, b, size, (low, high)) in enumerate(zip(a.pattern.extents, borders, tile, reach)):
-        t = F.col(f"t{d}")
-        begin, end = t * size + low, F.least(t * size + size, long(e)) + high
-        df = df.withColumn(f"low{d}", begin if b == CYCLIC else F.greatest(begin, long(0))).withColumn(f"high{d}", end if b == CYCLIC else F.least(end, long(e)))
-    return df, tile
-
+        begin, end = f"t{d} * {size} + {low}", f"least(t{d} * {size} + {size}, {e}L) + {high}"
+        begin, end = (begin, end) if b == CYCLIC else (f"greatest({begin}, 0L)", f"least({end}, {e}L)")
+        bounds += [f"{begin} as low{d}", f"{end} as high{d}"]
+        widths.append(f"(high{d} - low{d})")
+    df = df.selectExpr("*", *bounds)
+    steps = [f"{' * '.join(['1L', *widths[d + 1 :]])} as step{d}" for d in dims]
+    return df.selectExpr("*", *steps, f"size(cells) = {' * '.join(widths)} as dense"), tile
 
-def _near(cells: Column, cell: Column, at: Column, offset: tuple[int, ...]) -> Column:
-    """The value at an offset from a cell of a tile, null outside. Tiles with holes are searched."""
-    dims = range(len(offset))
-    inside, jump, whole = F.lit(True), long(0), long(1)
-    for d in dims:
-        y = cell[f"y{d}"] + offset[d]
-        width = F.col(f"high{d}") - F.col(f"low{d}")
-        inside = inside & (y >= F.col(f"low{d}")) & (y < F.col(f"high{d}"))
-        jump = jump * width + offset[d]
-        whole = whole * width
 
-    def there(c: Column) -> Column:
-        same = F.lit(True)
-        for d in dims:
-            same = same & (c[f"y{d}"] == cell[f"y{d}"] + offset[d])
-        return same
+def _near(offset: tuple[int, ...]) -> str:
+    """The value at an offset from cell c, at place i of its tile; null outside. Tiles with holes are searched."""
+    moved = [(d, o) for d, o in enumerate(offset) if o]
+    inside = " and ".join(f"c.y{d} + {o} >= low{d}" if o < 0 else f"c.y{d} + {o} < high{d}" for d, o in moved) or "true"
+    jump = " + ".join(["i", *(f"step{d} * {o}" for d, o in moved)])
+    there = " and ".join(f"z.y{d} = c.y{d} + {o}" for d, o in enumerate(offset))
+    return f"if({inside}, if(dense, get(cells, cast({jump} as int)).value, get(filter(cells, z -> {there}), 0).value), null)"
 
-    dense = F.get(cells, (at + jump).cast("int"))["value"]
-    return F.when(inside, F.when(F.size(cells) == whole, dense).otherwise(F.get(F.filter(cells, there), F.lit(0))["value"]))
 
-
-def _home(cell: Column, tile: tuple[int, ...], extents: tuple[int, ...]) -> Column:
-    out = F.lit(True)
-    for d, (size, e) in enumerate(zip(tile, extents)):
-        y, t = cell[f"y{d}"], F.col(f"t{d}")
-        out = out & (y >= t * size) & (y < F.least(t * size + size, long(e)))
-    return out
+def _home(tile: tuple[int, ...], extents: tuple[int, ...]) -> str:
+    """Whether cell c is one of the tile's own."""
+    return " and ".join(f"c.y{d} >= t{d} * {size} and c.y{d} < least(t{d} * {size} + {size}, {e}L)" for d, (size, e) in enumerate(zip(tile, extents)))
 
 
 def neighbours(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], outside: Callable[[list[Column]], Column] | None = None, tile: tuple[int, ...] | None = None) -> DataFrame:
@@ -139,24 +140,20 @@ def neighbours(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], outsid
     function of the coordinates), null beyond NONE borders."""
     names, extents = a.index_names, a.pattern.extents
     df, tile = tiled(a, spec.total(), borders, tile)
-    cells = F.col("cells")
-
-    def one(cell: Column, at: Column) -> Column:
-        values = [_near(cells, cell, at, p.offset).alias(f"n{k}") for k, p in enumerate(spec.points)]
-        return F.when(_home(cell, tile, extents), F.struct(*(cell[f"y{d}"].alias(n) for d, n in enumerate(names)), cell["value"].alias("value"), *values))
-
-    out = df.select(F.inline(F.filter(F.transform(cells, one), lambda c: c.isNotNull())))
+    fields = [*(f"'{n}', c.y{d}" for d, n in enumerate(names)), "'value', c.value", *(f"'n{k}', {_near(p.offset)}" for k, p in enumerate(spec.points))]
+    cell = f"if({_home(tile, extents)}, named_struct({', '.join(fields)}), null)"
+    out = df.selectExpr(f"inline(filter(transform(cells, (c, i) -> {cell}), c -> c is not null))")
     if CUSTOM not in borders or outside is None:
         return out
     filled = []
     for k, p in enumerate(spec.points):
-        at = [F.col(n) + o for n, o in zip(names, p.offset)]
-        beyond = [(x < 0) | (x >= e) for x, e in zip(at, extents)]
-        custom, none = F.lit(False), F.lit(False)
-        for x, b in zip(beyond, borders):
-            custom, none = (custom | x if b == CUSTOM else custom), (none | x if b == NONE else none)
-        wrapped = [mod(x, e) if b == CYCLIC else x for x, e, b in zip(at, extents, borders)]
-        filled.append(F.when(custom & ~none, outside(wrapped)).otherwise(F.col(f"n{k}")).alias(f"n{k}"))
+        beyond = lambda kind: [f"({n} + {o} < 0 or {n} + {o} >= {e})" for n, o, e, b in zip(names, p.offset, extents, borders) if b == kind and o]  # noqa: B023, E731
+        if not (custom := beyond(CUSTOM)):
+            filled.append(F.col(f"n{k}"))
+            continue
+        there = F.expr(f"({' or '.join(custom)}) and not ({' or '.join(beyond(NONE)) or 'false'})")
+        at = [F.expr(f"pmod({n} + {o}, {e}L)" if b == CYCLIC else f"{n} + {o}") for n, o, e, b in zip(names, p.offset, extents, borders)]
+        filled.append(F.when(there, outside(at)).otherwise(F.col(f"n{k}")).alias(f"n{k}"))
     return out.select(*names, "value", *filled)
 
 
@@ -186,17 +183,12 @@ def sweeps(a: GridArray, spec: StencilSpec, steps: int, centre: float, tile: tup
     names, extents = a.index_names, a.pattern.extents
     reach = tuple((low * steps, high * steps) for low, high in spec.total())
     df, tile = tiled(a, reach, (CYCLIC,) * a.ndim, tile)
+    total = " + ".join([f"c.value * {float(centre)!r}D", *(f"{_near(p.offset)} * {float(p.weight)!r}D" for p in spec.points)])
+    moved = f"transform(cells, (c, i) -> named_struct({', '.join(f"'y{d}', c.y{d}" for d in range(a.ndim))}, 'value', {total}))"
     for _ in range(steps):
-
-        def one(cell: Column, at: Column) -> Column:
-            out = cell["value"] * F.lit(float(centre))
-            for p in spec.points:
-                out = out + _near(F.col("cells"), cell, at, p.offset) * F.lit(float(p.weight))
-            return F.struct(*(cell[f"y{d}"].alias(f"y{d}") for d in range(a.ndim)), out.alias("value"))
-
-        df = df.withColumn("cells", F.transform("cells", one))
-    own = F.filter("cells", lambda c: _home(c, tile, extents))
-    return a.with_df(df.select(F.inline(own)).select(*(F.col(f"y{d}").alias(n) for d, n in enumerate(names)), "value"))
+        df = df.withColumn("cells", F.expr(moved))
+    own = df.selectExpr(f"inline(filter(cells, c -> {_home(tile, extents)}))")
+    return a.with_df(own.selectExpr(*(f"y{d} as {n}" for d, n in enumerate(names)), "value"))
 
 
 def scattered(a: GridArray, spec: StencilSpec, borders: tuple[str, ...], value: Column, centre: float = 1.0, op: ReduceOp | None = PLUS) -> GridArray:
