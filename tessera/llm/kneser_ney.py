@@ -5,7 +5,7 @@ hashes with counts, the arrays are dealt to shards, and a shard merges its array
 their last, so that a context's statistics are whole in one shard and so are the shorter grams that end the longer
 ones: a shard finds the counts of all its orders from its longest grams. The few words that begin very many pairs are
 dealt by two words; their pairs, of which several shards have a part, are summed by the second word. Shards write the
-model as sorted hash arrays to files in the shared folder, which workers map into memory to score texts, so a model
+model as sorted hash arrays (those of many keys behind a directory of the keys' leading bits) to files in the shared folder, which workers map into memory to score texts, so a model
 larger than a worker's memory still serves. All grams are kept, those seen once too.
 
 A gram of count c has probability max(c - D(c), 0) / c(context), and what the discounts leave goes to the gram without
@@ -14,7 +14,8 @@ of distinct words before them. Single words are interpolated with the uniform di
 one unknown word. Each order's discounts for counts of one, two and more come from its counts of counts.
 
 Tokens are the words of the whole text, letters A-Z as a-z, and one end. Defined results: null and empty texts are
-the end alone; without training texts all probabilities are one.
+the end alone; without training texts all probabilities are one; texts of any length are scored whole; repeated rows
+score alike; rows with a null id are trained on; further columns are left out.
 """
 
 from __future__ import annotations

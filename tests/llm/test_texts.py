@@ -416,3 +416,43 @@ def test_batches_are_cut_by_rows_and_bytes(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
     assert common.cuts(batch, 100) == [0, 2, 3, 4, 8, 9, 10, 11] and common.cuts(batch.slice(3), 2) == [0, 1, 3, 5, 6, 7, 8]
     assert common.cuts(batch.slice(0, 0), 5) == [0] and common.cuts(pa.RecordBatch.from_pydict({"x": [1, 2, 3]}), 2) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64, 1 << 22])
+def test_word_hashes_in_segments(monkeypatch, segment):
+    """Words are told apart by their bytes alone, wherever they stand and however the bytes are cut."""
+    r = random.Random(6)
+    words = ["a", "b", "ab", "ba", "é", "x" * 100, "aa", "\x01", *("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(60))]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(40)]
+    data, starts = common.text_bytes(pa.array(texts))
+    begin, end, _ = common.word_spans(data, starts)
+    monkeypatch.setattr(common, "SEGMENT", segment)
+    found = {}
+    for h, b, e in zip(common.word_hashes(data, begin, end).tolist(), begin, end):
+        found.setdefault(bytes(data[b:e]), set()).add(h)
+    assert all(len(h) == 1 for h in found.values()) and len({min(h) for h in found.values()}) == len(found)
+    monkeypatch.undo()
+    whole = common.word_hashes(data, begin, end).tolist()
+    assert whole == [min(found[bytes(data[b:e])]) for b, e in zip(begin, end)]
+
+
+def test_settings_come_back(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    with pytest.raises(KeyError), common.stepwise(spark, 7):
+        assert spark.conf.get(setting) == "7"
+        raise KeyError
+    assert spark.conf.get(setting) == before
+
+
+def test_a_shared_folder_is_demanded_on_clusters(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.checkpoint_folder(Session)
