@@ -25,7 +25,7 @@ def write_array(a: GridArray, path: str, mode: str = "overwrite", convert=None,
         old = spark.read.parquet(f"{path}/data").select(*names, "value")
         df = checkpointed(df.unionByName(old.join(df.select(*names), names, "left_anti")))  # what is read is replaced
     if by_block:
-        df = df.withColumn("block", a.pattern.block_at(a.coords).cast("long"))
+        df = df.withColumn("block", a.pattern.block_at(a.coords).cast("long")).repartition("block")  # a file for each block
     out = df.write.mode("overwrite" if mode == "modify" else mode)
     (out.partitionBy("block") if by_block else out).parquet(f"{path}/data")
     if store_pattern and mode not in ("append", "modify"):
