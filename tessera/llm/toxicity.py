@@ -20,7 +20,6 @@ import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from heapq import nsmallest
 
 import ahocorasick
 import numpy as np
@@ -140,24 +139,33 @@ def _features(text: str, shortest: int = 4, longest: int = 6) -> set[str]:
     return out
 
 
-def _near_copy_key(text: str) -> int:
-    """From the four smallest hashes of five words in a row: copies with few changes mostly share it, texts that have
-    no more than some lines in common don't."""
+#: Independent hashes of a text's runs of five words, and how many of them near copies share at least.
+HASHES, SHARED = 6, 2
+
+
+def least_hashes(text: str) -> list[int]:
+    """The smallest of each hash. Texts that have no more than some lines in common rarely share two of them."""
     words = text.lower().split()
-    least = nsmallest(4, {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))})
-    return zlib.crc32(repr(least).encode()) << 31 | least[0] >> 1
+    runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    h = common.mix64(np.array([zlib.crc32(r.encode()) for r in runs], np.uint64))
+    return [int((common.mix64(h + np.uint64(k)) >> np.uint64(1)).min()) for k in range(HASHES)]
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Labelled rows that are not held out (crc32 mod 3 is not 1), one of each group of near copies."""
+    """Labelled rows that are not held out (crc32 mod 3 is not 1), without near copies: a text goes that shares
+    ``SHARED`` of its ``HASHES`` with the text of smallest id that has them."""
     rows = common.labelled_sample(docs, labels, "toxic", 3, 1, most)
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [_near_copy_key(x) for x in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("y"), batch.column("text"), pa.array(keys, pa.int64()), batch.column("doc_id")], ["y", "text", "key", "doc_id"])
-
-    keyed_rows = common.map_arrow(rows, keyed, "y int, text string, key long, doc_id long")
-    return common.checkpointed(keyed_rows.groupBy("key", "y").agg(F.min_by("text", "doc_id").alias("text")).select("y", "text"))
+        keys = [least_hashes(x) for x in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("y"), batch.column("text"), pa.array(keys, pa.list_(pa.int64())), batch.column("doc_id")], ["y", "text", "keys", "doc_id"])
+
+    rows = common.checkpointed(common.map_arrow(rows, keyed, "y int, text string, keys array<long>, doc_id long"))
+    each = rows.select("doc_id", "y", F.posexplode("keys").alias("k", "h"))
+    first = each.groupBy("y", "k", "h").agg(F.min("doc_id").alias("first"))
+    met = each.join(first, ["y", "k", "h"]).where("first < doc_id").groupBy("doc_id", "first").agg(F.count("*").alias("n"))
+    near = met.where(F.col("n") >= SHARED).select("doc_id").distinct()  # of the sample, so no more than ``most``
+    return common.checkpointed(rows.join(F.broadcast(near), "doc_id", "left_anti").select("y", "text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, least_hits: int = 3, sureness: float = 3.0, most_entries: int = 50_000) -> ToxicityModel:

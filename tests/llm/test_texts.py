@@ -96,12 +96,17 @@ def test_long_words_give_no_whole_word_entry():
     assert "short " in features and not any(f.endswith(" ") and len(f) > 24 for f in features) and not any(len(f) > 6 for f in features if not f.endswith(" "))
 
 
-def test_only_near_copies_share_a_key():
+def test_near_copies_leave_the_sample(spark):
+    """Copies of a text count once, texts that share a line don't."""
     r = random.Random(3)
     line = "all rights are reserved by the owner of this text and so on and on"
-    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) + f" {line}" for _ in range(200)]
-    assert len({toxicity._near_copy_key(t) for t in texts}) == 200
-    assert sum(toxicity._near_copy_key(t) == toxicity._near_copy_key(t.replace(t.split()[100], "other")) for t in texts) > 150
+    own = [" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) + f" {line}" for _ in range(60)]
+    copies = [own[0].replace(own[0].split()[r.randrange(200)], "other") for _ in range(40)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame(list(zip(ids, own + copies)), "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    kept = [x.text for x in toxicity.training_sample(docs, labels, 1000).collect()]
+    assert set(own) <= set(kept) and len(kept) < 66
 
 
 def test_quality_equals_a_direct_fit(spark):
