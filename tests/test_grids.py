@@ -154,12 +154,12 @@ def test_maps_by_range_and_in_place(spark):
     assert sorted((r.key, r.unit) for r in keyed.bucket(first, 2, whole=True).collect()) == [(1, 1), (2, 0)]
 
 
-def test_orders_of_tables_and_of_the_driver(spark):
+@pytest.mark.parametrize("nodes,edges,most", [(12, 22, 10**6), (5, 6, 3)])
+def test_orders_of_tables_and_of_the_driver(spark, nodes, edges, most):
     rng = np.random.default_rng(6)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 12, (22, 2))] + [(20, 20)]
-    df = spark.createDataFrame(edges, "src long, dst long")
-    near = {n: set() for e in edges for n in e}
-    for a, b in edges:
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, nodes, (edges, 2))] + [(20, 20)]
+    near = {n: set() for e in pairs for n in e}
+    for a, b in pairs:
         if a != b:
             near[a].add(b)
             near[b].add(a)
@@ -170,8 +170,8 @@ def test_orders_of_tables_and_of_the_driver(spark):
         around = near.pop(node)
         for n in around:
             near[n] = (near[n] | around) - {n, node}
-    for most in (10**6, 3):
-        assert [tuple(r) for r in graph.minimum_degree_order(df, most=most).orderBy("step").collect()] == want
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    assert [tuple(r) for r in graph.minimum_degree_order(df, most=most).orderBy("step").collect()] == want
 
 
 def test_views_over_views(spark):
