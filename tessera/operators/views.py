@@ -100,7 +100,11 @@ def blocks(a: GridArray) -> DataFrame:
 
 
 def block(a: GridArray, number: int) -> DataFrame:
-    return blocks(a).where(F.col("block") == number)
+    """The cells of one block; its bounds reach the scan."""
+    out = blocks(a).where(F.col("block") == number)
+    for c, (begin, end) in zip(a.coords, a.pattern.block_bounds(number)):
+        out = out.where((c >= long(begin)) & (c < long(end)))
+    return out
 
 
 def index(a: GridArray) -> DataFrame:

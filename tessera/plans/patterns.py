@@ -137,6 +137,14 @@ class Pattern:
         """The block's number in row order."""
         return linear(self.block_coords(coords), list(self.block_counts))
 
+    def block_bounds(self, number: int) -> list[tuple[int, int]]:
+        """For each dimension the first place of a block and the one behind its last."""
+        at = []
+        for n in reversed(self.block_counts[1:]):
+            at.append(number % n)
+            number //= n
+        return [(b * i, b * (i + 1)) for b, i in zip(self.block_sizes, (number, *reversed(at)))]
+
     def unit_coords(self, coords: list[Column]) -> list[Column]:
         return [mod(b, t) for b, t in zip(self.block_coords(coords), self.team.extents)]
 
@@ -312,6 +320,9 @@ class IrregularPattern:
 
     block_at = unit_at
 
+    def block_bounds(self, number: int) -> list[tuple[int, int]]:
+        return [(self.starts[number], self.starts[number] + self.sizes[number]) if 0 <= number < self.units else (0, 0)]
+
     def local_index(self, coords: list[Column]) -> Column:
         return coords[0] - F.element_at(F.array(*map(long, self.starts)), self.unit_at(coords) + 1)
 

@@ -42,7 +42,7 @@ def stored_array(spark, d):
 
 @query(f"WITH {GRID} SELECT i0, i1, (i0 // 10 * 8 + i1 // 8)::BIGINT AS block, value FROM g")
 def stored_matrix_by_block(spark, d):
-    """Files by block, so that a block is read alone."""
+    """Files in the order of blocks, so that a block is read alone."""
     g = grid(spark, d)
     store = storage.ArrayStore(spark, _path(spark)).by_block()
     store << GridArray(g.df, TilePattern.of(g.pattern.extents, (TILE(10), TILE(8)), team=(2, 3)))

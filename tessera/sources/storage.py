@@ -14,7 +14,8 @@ from tessera.session import checkpointed
 
 
 def write_array(a: GridArray, path: str, mode: str = "overwrite", convert=None, by_block: bool = False, store_pattern: bool = True, pattern_key: str = "pattern") -> None:
-    """The array below ``path``: ``data`` and ``pattern_key``. ``by_block`` lays files out by the pattern's blocks.
+    """The array below ``path``: ``data`` and ``pattern_key``. ``by_block`` puts cells in the order of the pattern's blocks:
+    a file holds a range of them, as many as fit a task, so ``views.block`` of what is read finds one by its bounds.
 
     ``mode`` is overwrite, append (further cells), modify (cells that are there are replaced, others stay) or
     errorifexists; ``convert`` maps values to a storable type."""
@@ -24,10 +25,12 @@ def write_array(a: GridArray, path: str, mode: str = "overwrite", convert=None,
     if mode == "modify":
         old = spark.read.parquet(f"{path}/data").select(*names, "value")
         df = checkpointed(df.unionByName(old.join(df.select(*names), names, "left_anti")))  # what is read is replaced
+    if mode == "append" and _matches(spark, f"{path}/data/block=*"):  # beside such folders Spark passes over files
+        raise ValueError("this array has a folder for each block, as earlier versions wrote it: write it anew before cells are appended")
     if by_block:
-        df = df.withColumn("block", a.pattern.block_at(a.coords).cast("long")).repartition("block")  # a file for each block
-    out = df.write.mode("overwrite" if mode == "modify" else mode)
-    (out.partitionBy("block") if by_block else out).parquet(f"{path}/data")
+        order = ("block", *names)  # a large block is cut too
+        df = df.withColumn("block", a.pattern.block_at(a.coords).cast("long")).repartitionByRange(*order).sortWithinPartitions(*order)
+    df.write.mode("overwrite" if mode == "modify" else mode).parquet(f"{path}/data")
     if store_pattern and mode not in ("append", "modify"):
         spark.createDataFrame([(a.pattern.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{pattern_key}")
 
@@ -51,6 +54,12 @@ def read_array(spark: SparkSession, path: str, pattern: Pattern | None = None, c
     return GridArray(df.select(*names, value.alias("value")), pattern)
 
 
+def _matches(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
 def remove_array(spark: SparkSession, path: str) -> bool:
     """Removes a stored array; whether there was one."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,7 +14,7 @@ from tessera.operators.reduce_ops import BIT_XOR, MAX, MULTIPLY, PLUS
 from tessera.operators.stencil import CUSTOM, CYCLIC, Point, StencilSpec
 from tessera.operators.stencil import NONE as NO_BORDER
 from tessera.plans.patterns import BLOCKED, CYCLIC as DEALT
-from tessera.plans.patterns import IrregularPattern, Pattern
+from tessera.plans.patterns import TILE, IrregularPattern, Pattern, TilePattern
 from tessera.plans.teams import Domain, Team
 from tessera.sources import storage
 from tessera.streaming import running
@@ -227,6 +227,69 @@ def test_stores_modify_wait_and_remove(spark, tmp_path):
     assert store.remove() and not store.remove()
 
 
+def parts(folder):
+    return list(folder.rglob("*.parquet"))
+
+
+def test_stored_blocks_share_files(spark, tmp_path, capsys):
+    """As many files as tasks, not as blocks; a block is found by its bounds."""
+    m = np.arange(40.0 * 30).reshape(40, 30)
+    a = GridArray(gridded(spark, m).df, TilePattern.of(m.shape, (TILE(2), TILE(3)), team=(2, 2)))
+    store = storage.ArrayStore(spark, str(tmp_path)).by_block()
+    store << a
+    assert len(parts(tmp_path)) <= 4
+    back = store >> None
+    assert sorted(map(tuple, back.df.collect())) == sorted(map(tuple, a.df.collect())) and back.pattern == a.pattern
+    one = views.block(back, 57)  # row 5, column 7 of the blocks
+    assert sorted((r.i0, r.i1, r.value) for r in one.collect()) == [(i, j, m[i, j]) for i in (10, 11) for j in (21, 22, 23)]
+    one.explain("formatted")
+    plan = capsys.readouterr().out
+    assert all(f in plan for f in ("GreaterThanOrEqual(i0,10)", "LessThan(i0,12)", "GreaterThanOrEqual(i1,21)", "LessThan(i1,24)"))
+    assert spark.read.parquet(f"{tmp_path}/data/data").where("block = 57").count() == 6
+
+
+def test_stored_blocks_keep_further_cells(spark, tmp_path):
+    """Cells that are appended out of the order of blocks are read too."""
+    a = gridded(spark, np.arange(24.0).reshape(4, 6), missing={(1, 1), (3, 5)})
+    store = storage.ArrayStore(spark, str(tmp_path))
+    store.by_block() << a
+    store.mode("append") << a.with_df(spark.createDataFrame([(1, 1, 7.0)], a.df.schema))
+    store.by_block().mode("append") << a.with_df(spark.createDataFrame([(3, 5, 23.0)], a.df.schema))
+    assert sorted(r.value for r in store.read().df.collect()) == [float(v) for v in range(24)]
+    store.by_block().modify() << a.with_df(spark.createDataFrame([(0, 0, -1.0)], a.df.schema))
+    assert sorted(r.value for r in store.read().df.collect()) == [-1.0, *(float(v) for v in range(1, 24))]
+
+
+def test_a_folder_for_each_block_is_read_but_not_appended_to(spark, tmp_path):
+    """Arrays stored by earlier versions: appended cells would not be read."""
+    a = gridded(spark, np.arange(6.0).reshape(2, 3))
+    store = storage.ArrayStore(spark, str(tmp_path))
+    a.df.withColumn("block", F.col("i0")).write.partitionBy("block").parquet(f"{tmp_path}/data/data")
+    more = a.with_df(spark.createDataFrame([(1, 2, 9.0)], a.df.schema))
+    for kind in (store, store.by_block()):
+        with pytest.raises(ValueError, match="folder for each block"):
+            kind.mode("append") << more
+    assert sorted(r.value for r in store.read(a.pattern).df.collect()) == [0, 1, 2, 3, 4, 5]
+    store.by_block().modify() << more
+    store.mode("append") << a.with_df(spark.createDataFrame([(2, 0, 6.0)], a.df.schema))
+    assert sorted(r.value for r in store.read(a.pattern).df.collect()) == [0, 1, 2, 3, 4, 6, 9]
+
+
+def test_one_stored_block_is_cut(spark, tmp_path):
+    """All cells in one block don't go to one task; nor does an array of no cells hinder reading."""
+    a = GridArray.allocate(spark, Pattern.of((40_000,)), F.lit(1.0))
+    store = storage.ArrayStore(spark, str(tmp_path)).by_block()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.dataset("a") << a
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [spark.read.parquet(str(p)).count() for p in parts(tmp_path)]
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
+    store.dataset("none") << a.with_df(a.df.limit(0))
+    assert (store.dataset("none") >> None).df.count() == 0
+
+
 def test_adjacency_over_many_lines(spark, tmp_path):
     (tmp_path / "g.adj").write_text("0 2 2 5\n1 2\n0\n\n1 2\n")
     assert sorted(map(tuple, storage.read_adjacency(spark, str(tmp_path / "g.adj")).collect())) == [(0, 1), (0, 2), (2, 0), (2, 1), (2, 2)]

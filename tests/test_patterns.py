@@ -47,6 +47,24 @@ def test_two_dimensions(spark, team, order):
         assert got[g][0] == (i // 2 % team[0]) * team[1] + j // b1 % team[1]
 
 
+@pytest.mark.parametrize(
+    "pattern",
+    [
+        Pattern.of((23,), (BLOCKCYCLIC(3),), 4),
+        Pattern.of((9, 7), (TILE(2), BLOCKED), team=(2, 3), order="col"),
+        ShiftTilePattern.of((4, 5, 6), (TILE(2), TILE(2), TILE(4)), team=(2, 1, 1)),
+        IrregularPattern((3, 0, 5)),
+    ],
+)
+def test_block_bounds(spark, pattern):
+    cells = spark.range(pattern.size)
+    c = pattern.coords(F.col("id"))
+    for r in cells.select(pattern.block_at(c).alias("b"), *(x.alias(f"i{d}") for d, x in enumerate(c))).collect():
+        at = r[1:]
+        inside = [n for n in range(r.b + 2) if all(begin <= x < end for x, (begin, end) in zip(at, pattern.block_bounds(n)))]
+        assert inside == [r.b]
+
+
 def test_global_coords_invert_local_ones(spark):
     pattern = Pattern.of((23,), (BLOCKCYCLIC(3),), 4)
     df = spark.range(23)
